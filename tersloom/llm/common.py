@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,7 +124,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1
         if not b.num_rows:
             continue
         col = b.column(b.schema.get_field_index(column))
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col.cast(pa.binary())), 0))
+        size = np.asarray(pc.fill_null(pc.binary_length(col.cast(pa.binary())), 0))
         begin, total = 0, 0
         for i, n in enumerate(size.tolist()):
             if i > begin and total + n > limit:
