@@ -110,8 +110,17 @@ class Words:
         with np.errstate(over="ignore"):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[low] * down)])
             self.hash = mix((total[self.end] - total[self.start]) * up[self.start])
+        self._total, self._up = total, up
         self.first = np.append(np.searchsorted(self.start, self.at), len(self.start))
 
+    def prefix(self, k: int) -> np.ndarray:
+        """Hashes of the words' first k bytes; 0 for shorter words."""
+        z = self.start + k
+        ok = z <= self.end
+        with np.errstate(over="ignore"):
+            h = mix((self._total[np.minimum(z, self.end)] - self._total[self.start]) * self._up[self.start] + _U(k))
+        return np.where(ok, h, _U(0))
+
 
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of every text; null: empty."""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tersloom.llm import ann, bpe, mixing, quality, sharding, toxicity, urls, warc
+from tersloom.llm import ann, bpe, jaccard, lines, mixing, quality, sharding, toxicity, urls, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_line_dedup": lines.op4_line_dedup,
         "op5_bpe": bpe.op5_bpe,
         "op6_ann": ann.op6_ann,
         "op7_sharding": sharding.op7_sharding,
