@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
-from tersloom.llm.common import scratch_path, table
+from tersloom.llm.common import scratch_path, table, written
 
 END = "\r\n\r\n"
 #: Payloads of fewer bytes are never revisits.
@@ -32,6 +32,8 @@ def decided(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     p = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     p = p.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha2(F.col("html").cast("binary"), 256))
     firsts = p.filter(F.col("payload_bytes") >= LEAST_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    # as a table its size is known: a small one is broadcast below Spark's threshold and no page moves; a larger one is joined by shuffle
+    firsts = written(firsts.select("payload_digest", "first_id"), "firsts")
     firsts = firsts.select(F.col("payload_digest").alias("_d"), "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     salted = p.withColumn("_s", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     j = salted.join(firsts, (F.col("payload_digest") == F.col("_d")) & (F.col("_s") == F.col("_salt")), "left")
