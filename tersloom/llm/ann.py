@@ -26,8 +26,9 @@ LIST_SIZE, MOST_LISTS = 128, 4096
 #: Lists that a vector is put in, at most, and the distance ratio up to which it is.
 REPLICAS, BOUNDARY = 4, 1.15
 DEGREE = 24
-#: A list is split into parts of this many rows at most by hash, so that one vector's many copies are never one task's.
-PART_ROWS = 4096
+#: Rows that one task scans, about: small lists share a task, which gives each query k rows in all; a larger list is split by hash of vec_id,
+#: so that one vector's many copies are never one task's.
+TASK_ROWS = 16_384
 #: Share of the sample's true neighbours that the searched lists must hold when the ratio is fitted.
 FIT_RECALL = 0.955
 
@@ -169,8 +170,8 @@ def _matrix(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.nd
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row whose vec_id is divisible by ``every``, ties to the smaller vec_id.
 
-    Score: Euclidean distance in double precision on the original vectors. Lists are joined to queries by list and part in a co-group that gives
-    each query's ``k`` best of that part, so rows between the stages are at most k for each query, list and part; copies of a vector are split by hash.
+    Score: Euclidean distance in double precision on the original vectors. Lists meet their queries in a co-group by task, which gives each
+    query's ``k`` best of all its lists there, so rows between the stages are at most k for each query and TASK_ROWS rows; copies of a vector are split by hash.
     Vectors that are null, empty, zero, of another dimension, or hold null or non-finite components take no part; a null vec_id neither. Repeated
     vec_ids give their smallest distance; a query's own id is never its candidate. Fewer candidates than k: all of them. An empty table gives no rows.
     """
@@ -196,39 +197,60 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "ve
     postings = written(v.mapInArrow(post, "list int, first boolean, vec_id long, v binary"), "postings")
     sizes = postings.groupBy("list").agg(F.count("*").alias("n"), F.count_if("first").alias("own")).collect()  # one row a list
     index.sizes = np.zeros(len(index.centroids), np.int64)
-    parts = np.ones(len(index.centroids), np.int64)
+    rows_of = np.zeros(len(index.centroids), np.int64)
     for r in sizes:
-        index.sizes[r["list"]] = r["own"]
-        parts[r["list"]] = -(-r["n"] // PART_ROWS)
-    ready = spark.sparkContext.broadcast((index, parts))
+        index.sizes[r["list"]], rows_of[r["list"]] = r["own"], r["n"]
+    base, parts, room, task = [], [], 0, -1  # a list's first task, and its number of tasks
+    for n in rows_of.tolist():
+        if n > TASK_ROWS:
+            base.append(task + 1)
+            parts.append(-(-n // TASK_ROWS))
+            task, room = task + parts[-1], 0
+        else:
+            if n > room:
+                task, room = task + 1, TASK_ROWS
+            base.append(task if task >= 0 else 0)
+            parts.append(1)
+            room -= n
+    ready = spark.sparkContext.broadcast((index, base, parts))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, parts = ready.value
+        index, base, parts = ready.value
         for b in batches:
             rows, x = _matrix(b.column(1), dim)
             ids = np.asarray(b.column(0))
-            out = [(k_, p, int(ids[r]), q.tobytes()) for r, q in zip(rows.tolist(), x, strict=True) for k_ in index.search(q, k + 1) for p in range(int(parts[k_]))]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["list", "part", "query_id", "q"])
+            out = []
+            for r, q in zip(rows.tolist(), x, strict=True):
+                at: dict[int, list[int]] = {}
+                for n in index.search(q, k + 1):
+                    for p in range(parts[n]):
+                        at.setdefault(base[n] + p, []).append(n)
+                out += [(t, int(ids[r]), q.tobytes(), lists) for t, lists in at.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32())))], names=["task", "query_id", "q", "lists"])
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = np.asarray(left.column("vec_id").combine_chunks(), np.int64)
+        at = np.asarray(left.column("list").combine_chunks(), np.int64)
+        order = np.argsort(at, kind="stable")
+        at, ids = at[order], np.asarray(left.column("vec_id").combine_chunks(), np.int64)[order]
         rows: list[tuple] = []
         if len(ids) and right.num_rows:
-            x = np.frombuffer(b"".join(left.column("v").to_pylist()), np.float64).reshape(len(ids), -1)
-            for qid, q in zip(right.column("query_id").to_pylist(), right.column("q").to_pylist(), strict=True):
-                d = np.sqrt(((x - np.frombuffer(q, np.float64)) ** 2).sum(1))
-                d[ids == qid] = np.inf
-                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                near = near[np.isfinite(d[near])]
-                near = near[np.lexsort((ids[near], d[near]))][:k]
-                rows += [(qid, int(ids[j]), float(d[j])) for j in near.tolist()]
+            x = np.frombuffer(b"".join(left.column("v").to_pylist()), np.float64).reshape(len(ids), -1)[order]
+            for qid, q, lists in zip(right.column("query_id").to_pylist(), right.column("q").to_pylist(), right.column("lists").to_pylist(), strict=True):
+                mine = np.concatenate([np.arange(*np.searchsorted(at, [n, n + 1])) for n in lists])
+                mine = mine[ids[mine] != qid]
+                d = np.sqrt(((x[mine] - np.frombuffer(q, np.float64)) ** 2).sum(1))
+                # copies of a vector in several lists count once
+                near = np.lexsort((ids[mine], d)) if len(d) <= 4 * k * REPLICAS else np.flatnonzero(d <= np.partition(d, k * REPLICAS - 1)[k * REPLICAS - 1])
+                near = near[np.lexsort((ids[mine][near], d[near]))]
+                best = dict.fromkeys(zip(ids[mine][near].tolist(), d[near].tolist(), strict=True))
+                rows += [(qid, i, dist) for i, dist in list(best)[:k]]
         return pa.table({"query_id": pa.array([r[0] for r in rows], pa.int64()), "vec_id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.float64())})
 
-    part_of = F.element_at(F.array(*(F.lit(int(p)) for p in parts)), F.col("list") + 1)
-    p = postings.withColumn("part", F.pmod(F.xxhash64("vec_id"), part_of).cast("int")).select("list", "part", "vec_id", "v")
-    q = v.filter(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(ask, "list int, part int, query_id long, q binary")
+    task_of = F.element_at(F.array(*(F.lit(int(t)) for t in base)), F.col("list") + 1) + F.pmod(F.xxhash64("vec_id"), F.element_at(F.array(*(F.lit(int(n)) for n in parts)), F.col("list") + 1)).cast("int")
+    p = postings.withColumn("task", task_of).select("task", "list", "vec_id", "v")
+    q = v.filter(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(ask, "task int, query_id long, q binary, lists array<int>")
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    found = p.groupBy("list", "part").cogroup(q.groupBy("list", "part")).applyInArrow(scan, schema)
+    found = p.groupBy("task").cogroup(q.groupBy("task")).applyInArrow(scan, schema)
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
