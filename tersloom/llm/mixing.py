@@ -49,8 +49,8 @@ def rank_hash(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words, repeats counted) for every row.
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, whole_rows: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words, repeats counted) for every row; with ``whole_rows`` also the row itself, as the struct ``row``.
 
     Each document is taken ``floor(target / source_size)`` times whole; the rest of the budget goes to the documents of lowest hash.
     Words are summed by source and the hash's top 12 bits, then, inside the one boundary bucket of each source, by the next 12 bits;
@@ -60,7 +60,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     Null sources are one source, last. An empty table gives no rows. Other columns are ignored. Reruns agree: nothing depends on partitions.
     """
     bits, top = LEVEL_BITS, 60
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *([F.struct(*(F.col(c) for c in docs.columns)).alias("row")] if whole_rows else []))
     d = d.withColumn("h", rank_hash(F.col("doc_id"), seed))
     d = d.withColumn("b1", F.shiftright("h", top - bits)).withColumn("b2", F.shiftright("h", top - 2 * bits).bitwiseAND((1 << bits) - 1))
     hist1 = d.groupBy("source", "b1").agg(F.sum("size").alias("words"))
@@ -80,7 +80,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     e = d.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("gs")))
     below = F.col("t1").isNull() | (F.col("b1") < F.col("t1")) | ((F.col("b1") == F.col("t1")) & (F.col("t2").isNull() | (F.col("b2") < F.col("t2"))))
     at = (F.col("b1") == F.col("t1")) & (F.col("b2") == F.col("t2"))
-    keep = ["doc_id", "size", "source_size", "target"]
+    keep = ["doc_id", "size", "source_size", "target", *(["row"] if whole_rows else [])]
     once = F.when(F.coalesce(below, F.lit(False)) & F.col("t1").isNotNull(), F.col("size")).otherwise(0)
     sure = e.filter(~F.coalesce(at, F.lit(False))).select(*keep, (F.col("times") * F.col("size") + once).alias("taken"))
     up3 = Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,6 +89,19 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     return sure.unionByName(edge)
 
 
+def mixture(docs: DataFrame) -> DataFrame:
+    """The mix itself, in the columns of ``docs``: a document's row comes as often as it is taken whole; one that is taken in part comes once more, with
+    its first words only and n_chars to match (one such row a source at most). Documents that are not taken, such as empty texts, go."""
+    m = mixed(docs, whole_rows=True).filter("taken > 0")
+    m = m.withColumn("whole", F.expr("cast(taken div size as int)")).withColumn("part", F.expr("cast(taken % size as int)"))
+    m = m.withColumn("copy", F.explode(F.sequence(F.lit(1), F.expr("whole + if(part > 0, 1, 0)"))))
+    cut = F.expr("copy > whole")
+    pieces = F.split(F.col("row.text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # a word each, with the white space before it
+    m = m.withColumn("text", F.when(cut, F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("part"), F.lit(1))), "")).otherwise(F.col("row.text")))
+    cols = {"text": F.col("text"), "n_chars": F.when(cut, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return m.select(*(cols.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
