@@ -105,31 +105,52 @@ def forward_backward(e: np.ndarray, first: np.ndarray, length: np.ndarray, trans
 
 def offending(words: np.ndarray, context: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Hashes of words or stems whose distinct contexts are toxic far more often than chance allows."""
-    pair = np.unique(np.stack([words, context, toxic.astype(np.uint64)]), axis=1)
-    w, at = np.unique(pair[0], return_inverse=True)
+    with np.errstate(over="ignore"):
+        once = np.unique(mix(words * _K ^ context) ^ toxic, return_index=True)[1]
+    w, at = np.unique(words[once], return_inverse=True)
     n = np.bincount(at)
-    k = np.bincount(at, weights=pair[2].astype(float))
-    p = min(max(float(pair[2].mean()), 1e-3), 0.5) if pair.shape[1] else 0.5
+    k = np.bincount(at, weights=toxic[once].astype(float))
+    p = min(max(float(toxic[once].mean()), 1e-3), 0.5) if len(once) else 0.5
     q = np.clip(k / n, 1e-9, 1 - 1e-9)
     gain = n * (q * np.log(q / p) + (1 - q) * np.log((1 - q) / (1 - p)))  # Chernoff's exponent
     return w[(w != 0) & (q >= 0.6) & (gain >= math.log(len(w) + 1) + 5)]
 
 
+def pieces(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Stretches of about a megabyte: the tokeniser's arrays are many times its text."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > begin and size + len(t) > limit:
+            yield begin, texts[begin:i]
+            begin, size = i, 0
+        size += len(t)
+    if begin < len(texts):
+        yield begin, texts[begin:]
+
+
 def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 120) -> Model:
     """Seeds, then the chain's weights by penalised likelihood (Adam, fixed number of full rounds), then a logistic document score."""
-    w = Words(texts, alnum=True)
-    n = len(w.hash)
-    doc = np.repeat(np.arange(len(texts)), np.diff(w.first))
-    tox = labels[doc].astype(bool) if n else np.zeros(0, bool)
-    before, after = np.concatenate([[np.uint64(0)], w.hash[:-1]])[:n], np.concatenate([w.hash[1:], [np.uint64(0)]])[:n]
-    with np.errstate(over="ignore"):
-        context = mix(before * _K + after)
-    feats = units(w)
+    doc, feats, context, first, length, n = [], [[] for _ in range(1 + len(PREFIXES))], [], [], [], 0
+    for begin, part in pieces(texts):
+        w = Words(part, alnum=True)
+        k = len(w.hash)
+        before, after = np.concatenate([[np.uint64(0)], w.hash[:-1]])[:k], np.concatenate([w.hash[1:], [np.uint64(0)]])[:k]
+        with np.errstate(over="ignore"):
+            context.append(mix(before * _K + after))
+        for held, f in zip(feats, units(w), strict=True):
+            held.append(f)
+        doc.append(np.repeat(np.arange(begin, begin + len(part)), np.diff(w.first)))
+        f, size = chains(w)
+        first.append(f + n)
+        length.append(size)
+        n += k
+    whole = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
+    feats, context, first, length = [whole(f, np.uint64) for f in feats], whole(context, np.uint64), whole(first, np.int64), whole(length, np.int64)
+    tox = labels[whole(doc, np.int64)].astype(bool) if n else np.zeros(0, bool)
     y = np.zeros(n, bool)
     for f in feats if n else ():
-        y |= np.isin(f, offending(f, context, tox))
+        y |= np.isin(f, offending(f, context, tox.astype(np.uint64)))
     y &= tox
-    first, length = chains(w)
     has = np.add.reduceat(y.astype(np.int64), first) > 0 if len(first) else np.zeros(0, bool)
     # chains with a labelled token, and three times as many others, by hash
     others = np.flatnonzero(~has)
@@ -161,8 +182,8 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 120) -> Model:
             b += 0.01 * (g * g - b)
             p += lr * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
     model = Model(vocab, theta, float(bias[0]), trans, start, np.zeros(4))
-    x, _ = features(w, model)
-    model.doc = logistic(x, labels.astype(float))
+    x = [features(Words(part, alnum=True), model)[0] for _, part in pieces(texts)]
+    model.doc = logistic(np.concatenate([np.zeros((0, 3)), *x]), labels.astype(float))
     return model
 
 
