@@ -119,7 +119,9 @@ class WarcReader(DataSourceReader):
             out += [WarcRange(uri, a, min(a + self.range_bytes, n)) for a in range(0, n, self.range_bytes)]
         return out
 
-    def read(self, part: WarcRange) -> Iterator[tuple]:
+    def read(self, part: WarcRange | None) -> Iterator[tuple]:
+        if part is None:  # no files, so no ranges
+            return
         store, path = _opened(part.uri)
         with store.open_input_file(path) as f:
             yield from self._records(f, part.begin, part.end)
