@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tersloom.plans import compress_queries, log_queries, text_queries
+
+_MODULES = (text_queries, compress_queries, log_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.Q.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
