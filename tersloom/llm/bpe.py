@@ -8,6 +8,8 @@ ASCII white space, so the re-encoded stretch between two cores agrees exactly wi
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +24,12 @@ MEAN_CHUNK = 256
 WINDOW = 32
 #: Blocks of 256 bits of the broadcast filter of shared chunks (2 MB). If it fills up at some scale, more chunks count as shared; results stay.
 BLOCKS = 1 << 16
-#: Words a worker keeps encoded.
-CACHE_WORDS = 300_000
+#: Words of one generation of a worker's cache; there are two.
+CACHE_WORDS = 200_000
+
+
+# letters of ASCII and Latin-1 in UTF-8, with a comma or stop at the end
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[.,]?")
 
 
 class Encoder:
@@ -36,24 +42,51 @@ class Encoder:
         self.t.no_truncation()
         self.t.no_padding()
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         size = self.t.get_vocab_size(with_added_tokens=True)
         self.names = [(self.t.id_to_token(i) or "").encode() for i in range(size)]
+        rules = json.loads(self.t.to_str())
+        suffix = (rules["model"].get("end_of_word_suffix") or "\0").encode()
+        self.is_end = np.array([x.endswith(suffix) for x in self.names])
+        self.lower = "Lowercase" in json.dumps(rules.get("normalizer"))
+        if not self.lower:
+            self.words = bytes.split  # type: ignore[method-assign]
+
+    @staticmethod
+    def words(text: bytes) -> list[bytes]:
+        """White-space-delimited words; A-Z in lower case, as the tokenizer has them, unless that could make a special token's name."""
+        return text.split() if b"<|" in text else text.lower().split()
+
+    def learn(self, texts: list[bytes]) -> None:
+        """Encode the words of some texts that the cache lacks. When it is full, the words of the last generation stay if they come again."""
+        every = set().union(*map(self.words, texts))
+        need = every - self.cache.keys()
+        if len(self.cache) + len(need) > CACHE_WORDS:
+            self.old, self.cache = self.cache, {}
+            need = every
+        if self.old:
+            for w in need & self.old.keys():
+                self.cache[w] = self.old[w]
+            need = need - self.cache.keys()
+        plain = list(filter(_PLAIN.fullmatch, need)) if self.lower and self.is_end.any() else []
+        for i in range(0, len(plain), 1024):
+            part = plain[i : i + 1024]
+            ids = np.array(self.t.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            # a run of letters ends with one word-end token, and so does a comma or stop behind it
+            upto = np.cumsum([1 + (w[-1] < 97) for w in part])
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == upto[-1] and ends[-1] == len(ids):
+                raw, cut = ids.tobytes(), [0, *(4 * ends[upto - 1]).tolist()]
+                self.cache.update(zip(part, (raw[u:v] for u, v in zip(cut, cut[1:], strict=False)), strict=True))
+        rest = list(need - self.cache.keys())
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            for w, e in zip(part, self.t.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.cache[w] = np.array(e.ids, "<u4").tobytes()
 
     def ids(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.split()
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in self.cache]
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache.clear()
-                new = list(dict.fromkeys(words))
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for w, e in zip(part, self.t.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    self.cache[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(self.cache.__getitem__, words))
+        """Little-endian unsigned 32-bit ids of a text whose words are known."""
+        return b"".join(map(self.cache.__getitem__, self.words(text)))
 
     def decoded(self, ids: bytes) -> bytes:
         """What the library's decode(ids, skip_special_tokens=False) gives: no decoder is set, so tokens joined by blanks."""
@@ -150,6 +183,7 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     d = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    keyed = d.select("doc_id", F.unhex(F.md5("text")).alias("tkey"), "text")
     shared = spark.sparkContext.broadcast(chunk_filter(d, blocks))
     outs = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else "")
 
@@ -182,8 +216,10 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
 
     def encode_chunks(batches):
         e = encoder(path)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([e.ids(x) for x in b.column(1).to_pylist()], pa.binary())], names=["key", "ids"])
+        for b in small_batches(batches, "body"):
+            texts = b.column(1).to_pylist()
+            e.learn(texts)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([e.ids(x) for x in texts], pa.binary())], names=["key", "ids"])
 
     def alone(batches):
         e = encoder(path)
@@ -192,16 +228,14 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
             c = Chunks(texts)
             hit = np.concatenate([[0], np.cumsum(in_filter(c.hash, shared.value))])
             mine = [i for i in range(len(texts)) if hit[c.first[i + 1]] == hit[c.first[i]]]
+            e.learn([texts[i] for i in mine])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(mine, pa.int64())), *columns([finished(e, e.ids(texts[i])) for i in mine])], names=["doc_id", *names])
 
     def with_shared(batches):
         for b in small_batches(batches, "text"):
-            texts = texts_of(b.column(1))
-            c = Chunks(texts)
+            c = Chunks(texts_of(b.column(1)))
             hit = np.concatenate([[0], np.cumsum(in_filter(c.hash, shared.value))])
-            mine = pa.array([i for i in range(len(texts)) if hit[c.first[i + 1]] > hit[c.first[i]]], pa.int64())
-            keys = [hashlib.blake2b(texts[i], digest_size=16).digest() for i in mine.to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(mine), pa.array(keys, pa.binary()), b.column(1).take(mine)], names=["doc_id", "tkey", "text"])
+            yield b.filter(pa.array(hit[c.first[1:]] > hit[c.first[:-1]]))
 
     def places(batches):
         for b in small_batches(batches, "text"):
@@ -219,23 +253,25 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     def put_together(batches):
         e = encoder(path)
         for b in small_batches(batches, "text"):
-            rows = []
+            todo = []
             for body, got in zip(texts_of(b.column(1)), b.column(2).to_pylist(), strict=True):
-                parts, upto = [], 0
+                known, between, upto = [], [], 0
                 for p in got or ():  # sorted by place
-                    parts += [e.ids(body[upto : p["a"]]), p["ids"]]  # re-encoded from core to core
+                    between.append(body[upto : p["a"]])
+                    known.append(p["ids"])
                     upto = p["z"]
-                parts.append(e.ids(body[upto:]))
-                rows.append(finished(e, b"".join(parts)))
+                todo.append(([*between, body[upto:]], [*known, b""]))
+            e.learn([x for between, _ in todo for x in between])
+            # re-encoded from core to core
+            rows = [finished(e, b"".join([y for x, ids in zip(between, known, strict=True) for y in (e.ids(x), ids)])) for between, known in todo]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns(rows)], names=["tkey", *names])
 
     known = d.select("text").mapInArrow(texts_of_shared, "key binary, body binary").dropDuplicates(["key"]).mapInArrow(encode_chunks, "key binary, ids binary")
-    moved = d.mapInArrow(with_shared, f"doc_id {kind}, tkey binary, text string")
-    once = moved.select("tkey", "text").dropDuplicates(["tkey"])
+    once = keyed.select("tkey", "text").mapInArrow(with_shared, "tkey binary, text string").dropDuplicates(["tkey"])
     found = once.mapInArrow(places, "tkey binary, a int, z int, key binary").join(known, "key").groupBy("tkey").agg(F.array_sort(F.collect_list(F.struct("a", "z", "ids"))).alias("got"))
     done = once.join(found, "tkey", "left").select("tkey", "text", "got").mapInArrow(put_together, f"tkey binary, {outs}")
     direct = d.mapInArrow(alone, f"doc_id {kind}, {outs}")
-    return direct.unionByName(moved.select("doc_id", "tkey").join(done, "tkey").select("doc_id", *names))
+    return direct.unionByName(keyed.select("doc_id", "tkey").join(done, "tkey").select("doc_id", *names))
 
 
 def decode(ids: DataFrame, path: str, column: str = "ids", out: str = "decoded") -> DataFrame:

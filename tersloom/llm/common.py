@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,11 +42,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    freed(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._tersloom_path = path  # type: ignore[attr-defined]
     return out
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more; it learns of them by garbage collection only."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table of written() that nothing will read again."""
     path = getattr(df, "_tersloom_path", None)
