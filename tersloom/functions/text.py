@@ -11,7 +11,7 @@ from tersloom import model as M
 from tersloom.kernel import token_count as kernel_token_count
 
 #: White space as Unicode's White_Space property, inside a Java character class.
-WS = r"\t\n\x0B\f\r \x85\xA0  -     　"
+WS = r"\t\n\x0B\f\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def _class(ranges) -> str:

@@ -17,10 +17,10 @@ import numpy as np
 from tersloom import model as M
 
 # White space as Unicode's White_Space property has it; str.split() would also split at U+001C to U+001F.
-WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACES = re.compile(f"[{WS}]+")
 _TRIM = "".join(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-_PUA = re.compile("[-]")
+_PUA = re.compile("[\ue000-\uf8ff]")
 
 
 def trim(s: str) -> str:
@@ -61,7 +61,7 @@ def _class(ranges) -> str:
 
 _ASCII = re.compile(r"[\x00-\x7f]*")
 _TWO, _THREE = re.compile(f"[{_class(M.TWO_PER_TOKEN)}]"), re.compile(f"[{_class(M.THREE_PER_TOKEN)}]")
-_OTHER = re.compile(f"[{_class(M.TWO_PER_TOKEN)}{_class(M.THREE_PER_TOKEN)}-]")
+_OTHER = re.compile(f"[{_class(M.TWO_PER_TOKEN)}{_class(M.THREE_PER_TOKEN)}\ue000-\uf8ff]")
 
 
 def token_count(s: str) -> int:

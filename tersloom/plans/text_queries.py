@@ -54,7 +54,7 @@ def token_thirds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, regexp_replace(text || chr(57344) || 'x' || chr(63743), '[\\x{E000}-\\x{F8FF}]', '', 'g') AS clean FROM documents")
 def strip_pua(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).select("doc_id", X.strip_pua(F.concat("text", F.lit("x"))).alias("clean"))
+    return documents(spark, sf).select("doc_id", X.strip_pua(F.concat("text", F.lit("\ue000x\uf8ff"))).alias("clean"))
 
 
 @query("SELECT doc_id, strlen(text)::BIGINT AS bytes, strlen(text) * 400 > 10485760 AS too_large FROM documents")
