@@ -35,8 +35,8 @@ def coverage_words(source: Column) -> Column:
 
 def word_coverage(source: Column, shown: Column) -> Column:
     """Share of the source's words that occur in the output, in percent; 100 if it has none."""
-    words = coverage_words(source)
-    return F.when(F.size(words) == 0, 100.0).otherwise(F.size(F.filter(words, lambda w: F.contains(shown, w))) / F.size(words) * 100.0)
+    share = lambda ws, s: F.when(F.size(ws) == 0, 100.0).otherwise(F.size(F.filter(ws, lambda w: F.contains(s, w))) / F.size(ws) * 100.0)
+    return X.let(shown, lambda s: X.let(coverage_words(source), lambda ws: share(ws, s)))
 
 
 def without_noncontent(c: Column) -> Column:

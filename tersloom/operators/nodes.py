@@ -11,11 +11,7 @@ from pyspark.sql import functions as F
 
 from tersloom import model as M
 from tersloom.functions import text as X
-
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once. A column that a lambda refers to may be inlined and then computed for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+from tersloom.functions.text import let
 
 
 def node(idx: Column, kind: Column, *, level=None, text=None, importance=None, headers=None, rows=None, lang=None, ordered=None, items=None, key=None) -> Column:
