@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tersloom.llm.common import Words, connected_components, dropped, mix, small_batches, table, texts_of, written
+from tersloom.llm.urls import bloom_filter, passing
 
 #: Vertical fragments of the order; equal parts of every frequency class.
 FRAGMENTS = 8
@@ -26,23 +26,26 @@ WORD_SHARE = 1e-5
 GRAM_SHARE = 1 / 500
 #: Members of a large block that are compared in one task: so many that the pivots did not hold, against so many of all.
 BLOCK_FEW, BLOCK_ALL = 256, 1024
-#: Rounds of comparison with pivots before blocks that still fall apart are compared exhaustively.
-ROUNDS = 2
+#: Pairs in doubt for each member of a task up to which they are sent as pairs.
+DENSE = 4
 _U = np.uint64
 _MUL = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def grams(w: Words, i: int, n: int) -> np.ndarray:
-    """Hashes of the n-word shingles of text i; with fewer words, one for the whole sequence."""
-    h = w.hash[w.first[i] : w.first[i + 1]]
-    if not len(h):
-        return h
-    n_ = min(n, len(h))
+def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for the n words from each word on, and how many of them each text has: those of text i begin at w.first[i]. A text of fewer words has one, of all its words."""
+    size = np.diff(w.first)
+    h = np.concatenate([w.hash, np.zeros(n, np.uint64)])
     with np.errstate(over="ignore"):
-        out = np.full(len(h) - n_ + 1, _U(n_))
-        for j in range(n_):
-            out = mix(out * _MUL[j % 5] + h[j : len(h) - n_ + 1 + j])
-    return out
+        out = np.full(len(w.hash), _U(n))
+        for j in range(n):
+            out = mix(out * _MUL[j % 5] + h[j : len(h) - n + j])
+        for i in np.flatnonzero((size > 0) & (size < n)).tolist():
+            one = np.full(1, _U(size[i]))
+            for x in w.hash[w.first[i] : w.first[i + 1]]:
+                one = mix(one * _MUL[0] + x)
+            out[w.first[i]] = one[0]
+    return out, np.where(size >= n, size - n + 1, np.minimum(size, 1))
 
 
 class Order:
@@ -53,21 +56,17 @@ class Order:
         at = np.argsort(frequent)
         self.frequent, self.cls = frequent[at], (64 + np.minimum(63, np.log2(np.maximum(counts[at], 1)) * 2)).astype(np.uint64)
 
-    def keys(self, w: Words, i: int, n: int) -> np.ndarray:
-        """Sorted distinct keys of text i."""
-        g = grams(w, i, n)
-        if not len(g):
-            return g
-        c = self.cells[(w.hash[w.first[i] : w.first[i + 1]] >> _U(40)) & _U(CELLS - 1)].astype(np.uint64)
-        n_ = min(n, len(c))
-        total = np.zeros(len(g), np.uint64)
-        for j in range(n_):
-            total += c[j : len(c) - n_ + 1 + j]
-        cls = np.minimum(total, _U(63))
-        if len(self.frequent):
+    def keys(self, w: Words, n: int) -> Iterator[np.ndarray]:
+        """Sorted distinct keys of each text."""
+        g, size = shingles(w, n)
+        c = np.concatenate([self.cells[(w.hash >> _U(40)) & _U(CELLS - 1)], np.zeros(n, np.uint8)]).astype(np.uint64)
+        cls = np.minimum(sum(c[j : len(c) - n + j] for j in range(n)), _U(63))
+        if len(self.frequent) and len(g):
             at = np.minimum(np.searchsorted(self.frequent, g), len(self.frequent) - 1)
             cls = np.where(self.frequent[at] == g, self.cls[at], cls)
-        return np.unique((cls << _U(56)) | (g >> _U(8)))
+        k = (cls << _U(56)) | (g >> _U(8))
+        for i, m in enumerate(size.tolist()):
+            yield np.unique(k[w.first[i] : w.first[i] + m])
 
 
 def learned_order(docs: DataFrame, n: int) -> Order:
@@ -98,10 +97,10 @@ def learned_order(docs: DataFrame, n: int) -> Order:
             cells += np.bincount(((w.hash >> _U(40)) & _U(CELLS - 1)).astype(np.int64), minlength=CELLS)
             words += len(w.hash)
             rows += b.num_rows
-            for i in range(b.num_rows):
-                g = np.unique(grams(w, i, n))
-                held.append(g)
-                size += len(g)
+            g, m = shingles(w, n)
+            place = np.arange(len(g)) - np.repeat(w.first[:-1], np.diff(w.first))
+            held.append(g[place < np.repeat(m, np.diff(w.first))])
+            size += len(g)
             if size > 2_000_000:
                 yield from flush()
         yield from flush()
@@ -128,18 +127,40 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def fragment_of(keys: np.ndarray) -> np.ndarray:
-    return ((keys & _U((1 << 56) - 1)) >> _U(53)).astype(np.int64) * FRAGMENTS // 8
+    return (((keys & _U((1 << 56) - 1)) >> _U(40)) * _U(FRAGMENTS) >> _U(16)).astype(np.int64)
+
+
+def fine_counts(keys: np.ndarray) -> bytes:
+    """How many keys lie in each of F finer fragments, four to eight on average, a byte each; F is a power of two. The sum of the smaller counts bounds
+    the overlap of two sets from above. Empty if a count would not fit: such a set is never ruled out."""
+    bits = min(16, max(0, len(keys).bit_length() - 3))
+    n = np.bincount(((keys & _U((1 << 56) - 1)) >> _U(56 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64), minlength=1 << bits)
+    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else b""
+
+
+def most_overlap(a: bytes, b: bytes) -> int | None:
+    """Upper bound of the overlap; None: unknown."""
+    if not a or not b:
+        return None
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = x.reshape(len(y), -1).sum(1)
+    return int(np.minimum(x, y).sum())
 
 
 def joined(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, class_id for every row: the smallest doc_id reachable by links of a Jaccard similarity of ``percent`` or more.
 
     1. Equal sets are one class (128-bit fingerprint); all later work is on classes, so copies never meet in pairs.
-    2. Classes meet in blocks by the grams of their prefixes. In each block every member is compared with a pivot: a row a member, not a pair of members.
-       Pairs go to the fragments of both sets; partial overlaps are counted by fragment and summed per pair.
-    3. What pivots link is one component; only blocks whose members are still apart go on, and after ROUNDS of other pivots the members outside a
-       block's largest component are compared with all others of another component, in tasks of at most BLOCK_FEW by BLOCK_ALL sets. No link is lost
-       and no partner capped: a pair of one block is compared, or both are in one component.
+    2. Classes meet in blocks by the grams of their prefixes. In each block every member is compared with two pivots: rows by member, not by pair.
+       Counts in fine fragments rule out most pairs (an upper bound, so none that links). For the others the sets are fetched: partial overlaps
+       are counted by fragment and summed per pair.
+    3. What pivots link is one component. Only blocks whose members are still apart go on: members outside a block's largest component meet all
+       others of another component in tasks of at most BLOCK_FEW by BLOCK_ALL members by fine counts. A task whose pairs in doubt are few beside its
+       members sends those pairs, which are compared once, as above; a denser one sends its members, whose partial overlaps are then counted inside
+       one task. No link is lost and no partner capped: two members of one block are compared, or both are in one component.
     Words are lower-cased in A-Z only. Fewer words than n: one shingle. No words, null or empty text: n_shingles 0, component is the own doc_id.
     Repeated rows are copies; a null doc_id joins no links and has a null component; an empty table gives no rows; other columns are ignored.
     """
@@ -149,30 +170,33 @@ def joined(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text"):
-            w = Words(texts_of(b.column(1)))
-            size, prints, heads = [], [], []
-            for i in range(b.num_rows):
-                k = order.value.keys(w, i, n)
+            size, prints, heads, fine = [], [], [], []
+            for k in order.value.keys(Words(texts_of(b.column(1))), n):
                 size.append(len(k))
                 prints.append(hashlib.blake2b(k.tobytes(), digest_size=16).digest() if len(k) else None)
                 heads.append(k[: prefix_length(len(k), percent)].view(np.int64) if len(k) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "n", "fp", "head"])
+                fine.append(fine_counts(k))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(fine, pa.binary())], names=["doc_id", "n", "fp", "head", "fine"])
 
-    sets = written(d.mapInArrow(prefixes, "doc_id long, n long, fp binary, head array<long>"), "sets")
+    sets = written(d.mapInArrow(prefixes, "doc_id long, n long, fp binary, head array<long>, fine binary"), "sets")
     classes = written(sets.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    # one row of each class carries the prefix on
-    heads = sets.filter("doc_id is not null").join(classes.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"]).select(F.col("doc_id").alias("rep"), "n", "head").dropDuplicates(["rep"])
-    member = heads.select("rep", "n", F.explode("head").alias("key"))
+    # one row of each class carries the prefix on: a filter of fixed size leaves out almost all copies, the exact join the rest
+    first = passing(sets.filter("fp is not null and doc_id is not null"), "doc_id", bloom_filter(classes, "rep")).filter("maybe_listed")
+    member = first.select(F.col("doc_id").alias("rep"), F.explode("head").alias("key"))
     shared = member.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    member = written(member.join(shared, "key").select("key", "rep", "n", "m"), "members")
-    ids = written(member.select("rep").distinct(), "ids")
+    member = member.join(shared, "key").join(classes.select("rep").distinct(), "rep", "left_semi")
+    sizes = sets.filter("fp is not null and doc_id is not null").join(classes.withColumnRenamed("rep", "doc_id"), ["fp", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "fine")
+    fine = written(sizes.dropDuplicates(["rep"]), "fine")
+    member = written(member.join(fine.select("rep", "n"), "rep").select("key", "rep", "n", "m"), "members")
+    slim = written(sets.select("doc_id", "n", "fp"), "slim")
+    dropped(sets)
+    sets = slim
+    fine = fine.select("rep", "fine")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text"):
-            w = Words(texts_of(b.column(1)))
             rep, frag, packed = [], [], []
-            for i, r in enumerate(b.column(0).to_pylist()):
-                k = order.value.keys(w, i, n)
+            for r, k in zip(b.column(0).to_pylist(), order.value.keys(Words(texts_of(b.column(1))), n), strict=True):
                 f = fragment_of(k)
                 at = np.argsort(f, kind="stable")
                 k, f = k[at], f[at]
@@ -184,25 +208,26 @@ def joined(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id
                         packed.append(k[cut[j] : cut[j + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(frag, pa.int32()), pa.array(packed, pa.binary())], names=["rep", "frag", "seg"])
 
-    chosen = d.filter("doc_id is not null").join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    segs = written(chosen.mapInArrow(segments, "rep long, frag int, seg binary").dropDuplicates(["rep", "frag"]), "segments")
-
-    links: DataFrame | None = None
-    tried: DataFrame | None = None
-    open_blocks, component = member.withColumn("comp", F.col("rep")), None
-    for r in range(ROUNDS):
-        pairs = star_pairs(open_blocks, r, percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        found = written(overlaps(pairs, segs, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        component = connected_components(links)
-        open_blocks = written(apart(member, component), "open")
-    rest = written(exhausted(open_blocks, tried, segs, percent), "rest")
-    links = written(links.unionByName(rest), "links")
-    component = connected_components(links)
+    def segments_of(ids: DataFrame, name: str) -> DataFrame:
+        """The sets of some classes, by fragment; texts that a filter of fixed size rules out never move."""
+        ids = written(ids, "ids")
+        maybe = passing(d.filter("doc_id is not null"), "doc_id", bloom_filter(ids.withColumnRenamed("rep", "doc_id"), "doc_id")).filter("maybe_listed").select("doc_id", "text")
+        some = maybe.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+        return written(some.mapInArrow(segments, "rep long, frag int, seg binary").dropDuplicates(["rep", "frag"]), name)
+
+    pairs = written(not_ruled_out(star_pairs(member, percent), fine, percent), "pairs")
+    segs = segments_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "segments")
+    links = written(overlaps(pairs, segs, percent), "links")
+    dropped(segs)
+    doubts = written(in_doubt(apart(member, connected_components(links)), fine, percent), "doubts")
+    # blocks share most of their pairs: each is compared once
+    again = doubts.filter("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"), F.col("n").alias("na"), F.col("other_n").alias("nb")).distinct().join(pairs, ["a", "b"], "left_anti")
+    again = written(again.select("a", "b", "na", "nb"), "pairs")
+    dense = doubts.filter("other is null").select("key", "f", "g", "asks", "rep", "n", "comp")
+    segs = segments_of(again.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(dense.select("rep")).distinct(), "segments")
+    more = written(overlaps(again, segs, percent).unionByName(exhausted(dense, segs, percent)), "links")
+    dropped(segs)
+    component = connected_components(links.unionByName(more))
     named = classes.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
     out = sets.select("doc_id", "n", "fp").join(named, "fp", "left")
     linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -213,15 +238,28 @@ def _size_ok(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def star_pairs(blocks: DataFrame, salt: int, percent: int) -> DataFrame:
-    """(a, b, na, nb): each member with its block's pivots, one of the smallest hash and one of the largest, that are not in its component."""
-    row = F.struct(F.xxhash64("key", "rep", F.lit(salt)).alias("h"), "rep", "n", "comp")
+def star_pairs(blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb): each member with its block's two pivots, those of the smallest and the largest hash."""
+    row = F.struct(F.xxhash64("key", "rep").alias("h"), "rep", "n")
     ends = blocks.groupBy("key").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
     j = blocks.join(ends, "key")
-    pairs = [j.filter(f"comp <> {p}.comp and {_size_ok('n', p + '.n', percent)}").select(F.greatest("rep", f"{p}.rep").alias("a"), F.least("rep", f"{p}.rep").alias("b"), F.when(F.col("rep") > F.col(f"{p}.rep"), F.col("n")).otherwise(F.col(f"{p}.n")).alias("na"), F.when(F.col("rep") > F.col(f"{p}.rep"), F.col(f"{p}.n")).otherwise(F.col("n")).alias("nb")) for p in ("lo", "hi")]
+    pairs = [j.filter(f"rep <> {p}.rep and {_size_ok('n', p + '.n', percent)}").select(F.greatest("rep", f"{p}.rep").alias("a"), F.least("rep", f"{p}.rep").alias("b"), F.when(F.col("rep") > F.col(f"{p}.rep"), F.col("n")).otherwise(F.col(f"{p}.n")).alias("na"), F.when(F.col("rep") > F.col(f"{p}.rep"), F.col(f"{p}.n")).otherwise(F.col("n")).alias("nb")) for p in ("lo", "hi")]
     return pairs[0].unionByName(pairs[1]).distinct()
 
 
+def not_ruled_out(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose fine counts leave room for the least overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = b.column(2).to_pylist(), b.column(3).to_pylist()
+            ok = [(m := most_overlap(x, y)) is None or m >= least_overlap(p, q, percent) for x, y, p, q in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), na, nb, strict=True)]
+            yield pa.RecordBatch.from_arrays(b.columns[:4], names=["a", "b", "na", "nb"]).filter(pa.array(ok, pa.bool_()))
+
+    j = pairs.join(fine.select(F.col("rep").alias("a"), F.col("fine").alias("fa")), "a").join(fine.select(F.col("rep").alias("b"), F.col("fine").alias("fb")), "b")
+    return j.select("a", "b", "na", "nb", "fa", "fb").mapInArrow(run, "a long, b long, na long, nb long")
+
+
 def overlaps(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs that link: partial overlaps by fragment, summed per pair and held against the least overlap of both sizes."""
 
@@ -244,32 +282,97 @@ def apart(member: DataFrame, component: DataFrame) -> DataFrame:
     return c.join(mixed, "key").select("key", "rep", "n", "m", "comp")
 
 
-def exhausted(blocks: DataFrame, tried: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of different components of one block. Members outside the block's largest component, in groups of BLOCK_FEW, meet all members,
-    in groups of BLOCK_ALL; a task gives at most a spanning forest of what it finds, so its rows are bounded by its members."""
+def _tasks(rows: DataFrame, fn, schema: str) -> DataFrame:
+    """Runs ``fn`` on the rows (dicts) of each task (key, f, g); a task has at most about BLOCK_FEW asking and BLOCK_ALL other rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = None
+        held, now = [], None
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                out: list[tuple] = []
+                for r in b.slice(i, 256).to_pylist():
+                    at = (r["key"], r["f"], r["g"])
+                    if at != now and held:
+                        out += fn(held)
+                        held = []
+                    now = at
+                    held.append(r)
+                if out:
+                    yield from send(out)
+        if held:
+            yield from send(fn(held))
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    kind = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    types = [kind[x.split()[1]] for x in schema.split(", ")]
+
+    def send(out):
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
+
+    t = F.xxhash64("key", "f", "g")
+    return rows.withColumn("t", t).repartition("t").sortWithinPartitions("t", "key", "f", "g", "asks").drop("t").mapInArrow(run, schema)
+
+
+def in_doubt(blocks: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """What fine counts cannot keep apart: pairs (rep, n, other, other_n), or, of a task with more than DENSE pairs a member, its members (key, f, g, asks, rep, n, comp)."""
     per = blocks.groupBy("key", "comp").agg(F.count("*").alias("k"))
     main = per.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m")).select("key", F.col("top.comp").alias("main"), F.col("m").alias("all"), (F.col("m") - F.col("top.k")).alias("few"))
-    j = blocks.select("key", "rep", "n", "comp").join(main, "key")
+    j = blocks.select("key", "rep", "n", "comp").join(main, "key").join(fine, "rep")
     j = j.withColumn("cf", F.ceil(F.col("few") / BLOCK_FEW).cast("int")).withColumn("ca", F.ceil(F.col("all") / BLOCK_ALL).cast("int"))
     h = F.xxhash64("rep", F.lit("block"))
-    left = j.filter("comp <> main").select("key", "rep", "n", "comp", F.lit(True).alias("asks"), F.pmod(h, F.col("cf")).cast("int").alias("f"), F.explode(F.sequence(F.lit(0), F.col("ca") - 1)).alias("g"))
-    right = j.select("key", "rep", "n", "comp", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("cf") - 1)).alias("f"), F.pmod(h, F.col("ca")).cast("int").alias("g"))
+    left = j.filter("comp <> main").select("key", "rep", "n", "comp", "fine", F.lit(True).alias("asks"), F.pmod(h, F.col("cf")).cast("int").alias("f"), F.explode(F.sequence(F.lit(0), F.col("ca") - 1)).alias("g"))
+    right = j.select("key", "rep", "n", "comp", "fine", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("cf") - 1)).alias("f"), F.pmod(h, F.col("ca")).cast("int").alias("g"))
+
+    def keep(rows: list[dict]) -> list[tuple]:
+        asks, rest = [r for r in rows if r["asks"]], [r for r in rows if not r["asks"]]
+        by_length: dict[int, list[int]] = {}
+        for i, r in enumerate(rest):
+            by_length.setdefault(len(r["fine"]), []).append(i)
+        sizes, comps = np.array([r["n"] for r in rest], np.int64), np.array([r["comp"] for r in rest], np.int64)
+        grid = {k: np.frombuffer(b"".join(rest[i]["fine"] for i in at), np.uint8).reshape(len(at), k) for k, at in by_length.items()}
+        found: list[np.ndarray] = []
+        for x in asks:
+            ok = (comps != x["comp"]) & (100 * np.minimum(sizes, x["n"]) >= percent * np.maximum(sizes, x["n"]))
+            mine = np.frombuffer(x["fine"], np.uint8)
+            for k, at in by_length.items():
+                at = np.array(at)
+                if not ok[at].any() or not k or not len(mine):
+                    continue
+                m = min(k, len(mine))
+                a, b = mine.reshape(m, -1).sum(1), grid[k].reshape(len(at), m, -1).sum(2)
+                need = -(-percent * (x["n"] + sizes[at]) // (100 + percent))
+                ok[at] &= np.minimum(a, b).sum(1) >= need
+            found.append(np.flatnonzero(ok))
+        if sum(map(len, found)) <= DENSE * len(rows):
+            pairs = {(x, rest[i]["rep"]) if x > rest[i]["rep"] else (rest[i]["rep"], x): (r["n"], rest[i]["n"]) if x > rest[i]["rep"] else (rest[i]["n"], r["n"]) for r, at in zip(asks, found, strict=True) for x in (r["rep"],) for i in at.tolist()}
+            return [(0, 0, 0, None, a, na, 0, b, nb) for (a, b), (na, nb) in pairs.items()]
+        every = np.unique(np.concatenate(found))
+        chosen = [x for x, at in zip(asks, found, strict=True) if len(at)] + [rest[i] for i in every.tolist()]
+        return [(r["key"], r["f"], r["g"], r["asks"], r["rep"], r["n"], r["comp"], None, None) for r in chosen]
+
+    return _tasks(left.unionByName(right), keep, "key long, f int, g int, asks boolean, rep long, n long, comp long, other long, other_n long")
+
+
+def exhausted(doubts: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of different components in each task; a task gives at most a spanning forest of what it finds, so its rows are bounded by its members."""
     whole = segs.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("frag", "seg"))).alias("segs"))
-    tasks = left.unionByName(right).join(whole, "rep").withColumn("t", F.xxhash64("key", "f", "g"))
-    tasks = tasks.repartition("t").sortWithinPartitions("t", "key", "f", "g", "asks")
 
-    def compare(rows: list[dict]) -> set[tuple[int, int]]:
+    def compare(rows: list[dict]) -> list[tuple]:
         asks, rest = [r for r in rows if r["asks"]], [r for r in rows if not r["asks"]]
         comp = {r["rep"]: r["comp"] for r in rows}
-        out = set()
+        out = []
         if not asks or not rest:
             return out
         sizes = np.array([r["n"] for r in rest], np.int64)
-        index = [np.concatenate([np.frombuffer(s["seg"], np.uint64) for r in rest for s in r["segs"] if s["frag"] == f] or [np.zeros(0, np.uint64)]) for f in range(FRAGMENTS)]
-        owner = [np.repeat(np.arange(len(rest)), [sum(len(s["seg"]) // 8 for s in r["segs"] if s["frag"] == f) for r in rest]) for f in range(FRAGMENTS)]
+        index, owner = [], []
         for f in range(FRAGMENTS):
-            at = np.argsort(index[f], kind="stable")
-            index[f], owner[f] = index[f][at], owner[f][at]
+            mine = [next((s["seg"] for s in r["segs"] if s["frag"] == f), b"") for r in rest]
+            keys, who = np.frombuffer(b"".join(mine), np.uint64), np.repeat(np.arange(len(rest)), [len(x) // 8 for x in mine])
+            at = np.argsort(keys, kind="stable")
+            index.append(keys[at])
+            owner.append(who[at])
         for x in asks:
             total = np.zeros(len(rest), np.int64)
             for s in x["segs"]:  # partial overlaps with all others, by fragment
@@ -280,30 +383,13 @@ def exhausted(blocks: DataFrame, tried: DataFrame, segs: DataFrame, percent: int
                     total += np.bincount(np.concatenate(spans), minlength=len(rest))
             for i in np.flatnonzero(100 * total >= percent * (x["n"] + sizes - total)).tolist():
                 y = rest[i]
-                if y["rep"] != x["rep"] and comp[x["rep"]] != comp[y["rep"]]:
-                    out.add((max(x["rep"], y["rep"]), min(x["rep"], y["rep"])))
+                if comp[x["rep"]] != comp[y["rep"]]:
+                    out.append((max(x["rep"], y["rep"]), min(x["rep"], y["rep"])))
                     old, new = comp[x["rep"]], comp[y["rep"]]
-                    for r, c in comp.items():
-                        if c == old:
-                            comp[r] = new
+                    comp = {r: new if c == old else c for r, c in comp.items()}
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
-        done: list[tuple[int, int]] = []
-        for b in batches:
-            for r in b.to_pylist():
-                at = (r["key"], r["f"], r["g"])
-                if at != now and held:
-                    done += compare(held)
-                    held = []
-                now = at
-                held.append(r)
-        if held:
-            done += compare(held)
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64())], names=["a", "b"])
-
-    return tasks.select("key", "f", "g", "asks", "rep", "n", "comp", "segs").mapInArrow(run, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])).distinct()
+    return _tasks(doubts.join(whole, "rep"), compare, "a long, b long").distinct()
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

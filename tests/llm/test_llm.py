@@ -107,7 +107,8 @@ def test_jaccard_brute_force(spark, n, percent):
     assert len({c for _, c in got.values()}) < len(texts)
 
 
-def test_jaccard_large_block(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [0, 4])
+def test_jaccard_large_block(spark, monkeypatch, dense):
     """A large group of near copies of which many pairs just fail: the exhaustive part must find what pivots miss."""
     r = random.Random(8)
     base = words(120, 1)
@@ -117,7 +118,7 @@ def test_jaccard_large_block(spark, monkeypatch):
         for _ in range(r.randrange(0, 5)):
             w[r.randrange(len(w))] = f"new{r.randrange(10_000)}"
         texts.append(" ".join(w))
-    for k, v in (("BLOCK_FEW", 4), ("BLOCK_ALL", 8)):
+    for k, v in (("BLOCK_FEW", 4), ("BLOCK_ALL", 8), ("DENSE", dense)):
         monkeypatch.setattr(jaccard, k, v)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.joined(docs_frame(spark, texts)).collect()}
     assert got == brute_components(texts, list(range(len(texts))), 4, 85)
