@@ -1,6 +1,6 @@
 """Line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence kept of each connected group. [native]
 
-Only DataFrame functions. A line's SimHash has 112 bits. Word hashes are added up in byte lanes of longs (eight sums for 56 bits), so a line is
+Only DataFrame functions. A line's SimHash has 112 bits, of its distinct words: a separator or article that a line repeats would else outvote the rest. Word hashes are added up in byte lanes of longs (eight sums for 56 bits), so a line is
 one aggregated row whatever its number of words, and the majority of every bit is read off with a few integer operations.
 """
 
@@ -19,7 +19,7 @@ SEGMENT = 127
 #: Four blocks of 28 bits: lines whose hashes differ in at most three bits always share one.
 BLOCKS, BLOCK_BITS = 4, 28
 #: Pairs that share a block and differ in more bits than this are chance (unrelated lines differ in 56 on average).
-MOST_BITS = 30
+MOST_BITS = 22
 #: Least edit similarity: 1 - distance / longer length.
 SIMILARITY = 0.8
 _ONES = 0x0001010101010101
@@ -28,19 +28,22 @@ _NO_ID = -(2**63)
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+    """Lower-cased words with one blank between them; the pattern runs only where some other white space is."""
+    low = F.lower(line)
+    other = reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in ("  ", "\t", "\x0b", "\f", "\r")))
+    return F.trim(F.when(other, F.regexp_replace(low, r"[\x20\x09-\x0D]+", " ")).otherwise(low))
 
 
 def exploded(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """d, th, line_no, norm: every line that has a word. (d, th) is the document: its id and its text's hash."""
+    """d, th, line_no, line: every line. (d, th) is the document: its id and its text's hash."""
     t = F.coalesce(F.col(text), F.lit(""))
-    e = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(t).alias("th"), F.posexplode(F.split(t, "\n")).alias("line_no", "line"))
-    return e.select("d", "th", "line_no", normalised(F.col("line")).alias("norm")).filter("norm <> ''")
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(t).alias("th"), F.posexplode(F.split(t, "\n")).alias("line_no", "line"))
 
 
 def simhashed(lines: DataFrame) -> DataFrame:
-    """d, th, line_no, l1, l2 (128 bits of the normalised line), s1, s2 (56 bits each)."""
-    w = lines.select("d", "th", "line_no", F.xxhash64("norm").alias("l1"), F.xxhash64("norm", F.lit("2")).alias("l2"), F.posexplode(F.split("norm", " ")).alias("pos", "word"))
+    """d, th, line_no, l1, l2 (128 bits of the normalised line), s1, s2 (56 bits each) of every line that has a word."""
+    w = lines.select("d", "th", "line_no", normalised(F.col("line")).alias("norm")).filter("norm <> ''")
+    w = w.select("d", "th", "line_no", F.xxhash64("norm").alias("l1"), F.xxhash64("norm", F.lit("2")).alias("l2"), F.posexplode(F.array_distinct(F.split("norm", " "))).alias("pos", "word"))
     w = w.select("d", "th", "line_no", "l1", "l2", F.expr(f"cast(pos div {SEGMENT} as int)").alias("seg"), F.xxhash64("word").alias("h1"), F.xxhash64("word", F.lit("2")).alias("h2"))
     lanes = [F.sum(F.expr(f"shiftrightunsigned(h{k}, {i}) & {_ONES}L")).alias(f"a{k}{i}") for k in (1, 2) for i in range(8)]
     part = w.groupBy("d", "th", "line_no", "l1", "l2", "seg").agg(F.count("*").alias("n"), F.max("seg").alias("top"), *lanes)
@@ -61,21 +64,17 @@ def simhashed(lines: DataFrame) -> DataFrame:
     return single.unionByName(many.select(*own, counted(1).alias("s1"), counted(2).alias("s2")))
 
 
-def _bits(a: str, b: str) -> Column:
-    return F.expr(f"bit_count({a}s1 ^ {b}s1) + bit_count({a}s2 ^ {b}s2)")
-
-
 def blocks(lines: DataFrame) -> DataFrame:
-    """A row for each line and block; key: block number and its bits."""
+    """A row for each line and block; key: block number and its bits. A line is told by l1, s1 and s2 together, 176 bits of its words."""
     low = (1 << BLOCK_BITS) - 1
     keys = [F.expr(f"(shiftrightunsigned(s{1 + i // 2}, {BLOCK_BITS * (i % 2)}) & {low}L) + {i << BLOCK_BITS}L") for i in range(BLOCKS)]
-    return lines.select(F.explode(F.array(*keys)).alias("key"), "id", "s1", "s2")
+    return lines.select(F.explode(F.array(*keys)).alias("key"), "l1", "s1", "s2")
 
 
 def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """d, th, line_no of every line that repeats an earlier occurrence exactly (normalised) or nearly.
 
-    1. Equal normalised lines fall together by 128-bit hash with map-side partial results; a line in a third of all documents is one row then.
+    1. Equal normalised lines fall together by hash with map-side partial results; a line in a third of all documents is one row then.
     2. Distinct lines meet by block. In each block one pivot is compared with every member; members that are not like the pivot are then
        compared with all other members, so no pair that shares a block is missed and a hot block of alike lines stays linear.
     3. Pairs that differ in few bits are verified by edit similarity on their texts, which are fetched through a broadcast Bloom filter of
@@ -83,40 +82,62 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     lines = exploded(docs, doc_id, text)
     hashed = written(simhashed(lines), "lines")
-    distinct = hashed.groupBy("l1", "l2").agg(F.min(F.struct("d", "th", "line_no")).alias("id"), F.min("s1").alias("s1"), F.min("s2").alias("s2"))
+    distinct = written(hashed.groupBy("l1", "l2", "s1", "s2").agg(F.min(F.struct("d", "th", "line_no")).alias("id")), "distinct")
     member = blocks(distinct)
-    pivots = member.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "s1", "s2")).alias("p")).filter("n > 1")
-    star = member.join(pivots, "key").filter("id <> p.id").select("key", "n", "id", F.col("p.id").alias("other"), _bits("", "p.").alias("bits"), "s1", "s2")
-    star = written(star, "blocks")
-    near = star.filter(F.col("bits") <= MOST_BITS)
-    checked = written(verified(near.select("id", "other").distinct(), lines), "pairs")
+    crowded = member.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # most keys are alone; only rows of the others go on
+    member = written(member.join(crowded, "key").select("key", "n", F.struct("l1", "s1", "s2").alias("x")), "members")
+    pivots = member.groupBy("key").agg(F.min("x").alias("p"))
+    star = written(member.join(pivots, "key").filter("x <> p").withColumn("bits", F.expr("bit_count(x.s1 ^ p.s1) + bit_count(x.s2 ^ p.s2)")), "star")
+    dropped(member)
+    near = star.filter(F.col("bits") <= MOST_BITS).select("x", F.col("p").alias("y")).distinct()
+    # all lines that either round can ask for, fetched at once
+    asked = near.select(F.explode(F.array("x", "y")).alias("x")).unionByName(star.filter("n > 2").select("x")).distinct()
+    texts = texts_of(asked, distinct, lines)
+    checked = written(verified(near, texts), "pairs")
     # members that their pivot does not hold, against the rest of the block; bits are compared inside the join
-    failed = star.filter("n > 2").join(checked, ["id", "other"], "left_anti").select("key", F.col("id").alias("id"), F.col("s1").alias("s1"), F.col("s2").alias("s2"))
-    rest = star.filter("n > 2").select("key", F.col("id").alias("oid"), F.col("s1").alias("os1"), F.col("s2").alias("os2"))
-    more = failed.join(rest, "key").filter((F.col("id") != F.col("oid")) & (F.expr("bit_count(s1 ^ os1) + bit_count(s2 ^ os2)") <= MOST_BITS))
-    more = more.select(F.greatest("id", "oid").alias("id"), F.least("id", "oid").alias("other")).distinct().join(checked, ["id", "other"], "left_anti")
-    links = written(checked.unionByName(verified(more, lines)), "links")
-    groups = connected_components(links, "id", "other")
-    kept = distinct.select("l1", "l2", "id").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("l1", "l2", F.coalesce("component", "id").alias("keep"))
+    failed = star.filter("n > 2").join(checked.select("x", F.col("y").alias("p")), ["x", "p"], "left_anti").select("key", "x")
+    rest = star.filter("n > 2").select("key", F.col("x").alias("y"))
+    more = failed.join(rest, "key").filter((F.col("x") != F.col("y")) & (F.expr("bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2)") <= MOST_BITS))
+    more = more.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    links = checked.unionByName(written(verified(more, texts), "pairs"))
+    groups = connected_components(links, "x", "y").select(F.col("node").alias("x"), "component")
+    named = distinct.withColumn("x", F.struct("l1", "s1", "s2")).select("x", "l1", "l2", "id").join(groups, "x", "left")
+    first = named.filter("component is not null").groupBy("component").agg(F.min("id").alias("first"))
+    kept = named.join(first, "component", "left").select("l1", "l2", F.coalesce("first", "id").alias("keep"))
     out = hashed.join(kept, ["l1", "l2"]).filter(F.struct("d", "th", "line_no") != F.col("keep")).select("d", "th", "line_no")
     out = written(out, "dups")
-    for x in (hashed, star, checked, links):
-        dropped(x)
+    for t in (hashed, star, checked, distinct, texts):
+        dropped(t)
     return out
 
 
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (id, other) whose normalised lines have an edit similarity of at least SIMILARITY."""
-    pairs = written(pairs, "cand")
-    ids = pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct()
-    at = lines.withColumn("id", F.struct("d", "th", "line_no")).withColumn("idh", F.xxhash64("d", "th", "line_no"))
+def texts_of(asked: DataFrame, distinct: DataFrame, lines: DataFrame) -> DataFrame:
+    """(x, norm): the normal form of each distinct line asked for, from its first occurrence."""
+    ids = written(distinct.select(F.struct("l1", "s1", "s2").alias("x"), "id").join(asked, "x").groupBy("x").agg(F.min("id").alias("id")), "ids")
+    at = lines.withColumn("idh", F.xxhash64("d", "th", "line_no"))
     maybe = passing(at, "idh", bloom_filter(ids.select(F.xxhash64("id.d", "id.th", "id.line_no").alias("idh")), "idh")).filter("maybe_listed")
-    texts = maybe.select("id", "norm").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    j = pairs.join(texts, "id").join(texts.select(F.col("id").alias("other"), F.col("norm").alias("norm2")), "other")
-    longer = F.greatest(F.length("norm"), F.length("norm2"))
-    allowed = F.floor(longer * F.lit(1 - SIMILARITY) + F.lit(1e-9)).cast("int")
-    ok = F.abs(F.length("norm") - F.length("norm2")) <= allowed
-    return j.filter(ok).filter(F.expr("levenshtein(norm, norm2, cast(floor(greatest(length(norm), length(norm2)) * %r + 1e-9) as int))" % round(1 - SIMILARITY, 9)) >= 0).select("id", "other")
+    some = maybe.select(F.struct("d", "th", "line_no").alias("id"), normalised(F.col("line")).alias("norm"))
+    return written(some.join(ids, "id").select("x", "norm").dropDuplicates(["x"]), "texts")
+
+
+#: Words of the pieces whose distances bound a long line's distance from above.
+PIECE = 4
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose normalised lines have an edit similarity of at least SIMILARITY.
+
+    Lines of equal word counts are first compared piece by piece: the sum of their pieces' distances is no less than the distance, so if it is small
+    enough the pair is similar. Only what that leaves open needs the whole distance, which costs the square of a line's length.
+    """
+    j = pairs.join(texts, "x").join(texts.select(F.col("x").alias("y"), F.col("norm").alias("norm2")), "y")
+    allowed = F.expr("cast(floor(greatest(length(norm), length(norm2)) * %r + 1e-9) as int)" % round(1 - SIMILARITY, 9))
+    j = j.withColumn("allowed", allowed).filter(F.abs(F.length("norm") - F.length("norm2")) <= F.col("allowed"))
+    j = j.withColumn("wa", F.split("norm", " ")).withColumn("wb", F.split("norm2", " "))
+    pieces = f"aggregate(sequence(0, (size(wa) - 1) div {PIECE}), 0, (s, i) -> s + levenshtein(array_join(slice(wa, i * {PIECE} + 1, {PIECE}), ' '), array_join(slice(wb, i * {PIECE} + 1, {PIECE}), ' ')))"
+    similar = F.expr(f"case when size(wa) = size(wb) and size(wa) > {2 * PIECE} and {pieces} <= allowed then true else levenshtein(norm, norm2, allowed) >= 0 end")
+    return j.filter(similar).select("x", "y")
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
