@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tersloom.llm.common import Words, mix, small_batches, table, texts_of
 
 #: Labelled documents that the model is fitted on, at most; they are chosen by hash and go to the driver.
-SAMPLE = 4000
+SAMPLE = 2000
 LONGEST_CHAIN = 256
 THRESHOLD = 0.7
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -116,8 +116,8 @@ def offending(words: np.ndarray, context: np.ndarray, toxic: np.ndarray) -> np.n
     return w[(w != 0) & (q >= 0.6) & (gain >= math.log(len(w) + 1) + 5)]
 
 
-def pieces(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """Stretches of about a megabyte: the tokeniser's arrays are many times its text."""
+def pieces(texts: list[bytes], limit: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
+    """Stretches of about a quarter megabyte: the tokeniser's arrays are many times its text."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
         if i > begin and size + len(t) > limit:
@@ -237,8 +237,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     """At most ``most`` labelled documents with crc32(doc_id) mod 3 other than 1. The ids come from the labels alone, so the broadcast is bounded."""
     ids = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     ids = ids.filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "label").collect()
-    return [(r["text"] or "").encode() for r in got], np.array([int(r["label"]) for r in got], np.int64)
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    # a partition at a time, so that the driver holds the texts once, as bytes
+    got = sorted((r["doc_id"], (r["text"] or "").encode(), int(r["label"])) for r in rows.toLocalIterator())
+    return [t for _, t, _ in got], np.array([y for _, _, y in got], np.int64)
 
 
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
