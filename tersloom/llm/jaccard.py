@@ -212,8 +212,8 @@ def joined(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id
         """The sets of some classes, by fragment; texts that a filter of fixed size rules out never move."""
         ids = written(ids, "ids")
         maybe = passing(d.filter("doc_id is not null"), "doc_id", bloom_filter(ids.withColumnRenamed("rep", "doc_id"), "doc_id")).filter("maybe_listed").select("doc_id", "text")
-        some = maybe.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-        return written(some.mapInArrow(segments, "rep long, frag int, seg binary").dropDuplicates(["rep", "frag"]), name)
+        # a text that passes by chance gives sets that no pair asks for; moving all texts for an exact join would cost more
+        return written(maybe.mapInArrow(segments, "rep long, frag int, seg binary"), name)
 
     pairs = written(not_ruled_out(star_pairs(member, percent), fine, percent), "pairs")
     segs = segments_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "segments")
@@ -265,13 +265,15 @@ def overlaps(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(got, pa.int64())], names=["a", "b", "na", "nb", "part"])
+            got = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(got, pa.int64())], names=["a", "b", "na", "nb", "frag", "part"])
 
     sa = segs.select(F.col("rep").alias("a"), "frag", F.col("seg").alias("seg_a"))
     sb = segs.select(F.col("rep").alias("b"), "frag", F.col("seg").alias("seg_b"))
-    both = pairs.join(sa, "a").join(sb, ["b", "frag"]).select("a", "b", "na", "nb", "seg_a", "seg_b")
-    total = both.mapInArrow(partial, "a long, b long, na long, nb long, part long").groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
+    both = pairs.join(sa, "a").join(sb, ["b", "frag"]).select("a", "b", "na", "nb", "frag", "seg_a", "seg_b")
+    parts = both.mapInArrow(partial, "a long, b long, na long, nb long, frag int, part long")
+    # the largest of a fragment: rows that share a doc_id give a fragment more than once
+    total = parts.groupBy("a", "b", "na", "nb", "frag").agg(F.max("part").alias("part")).groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
     return total.filter(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
 
 
@@ -375,8 +377,8 @@ def exhausted(doubts: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
             owner.append(who[at])
         for x in asks:
             total = np.zeros(len(rest), np.int64)
-            for s in x["segs"]:  # partial overlaps with all others, by fragment
-                k, f = np.frombuffer(s["seg"], np.uint64), s["frag"]
+            for f, seg in {s["frag"]: s["seg"] for s in x["segs"]}.items():  # partial overlaps with all others, by fragment
+                k = np.frombuffer(seg, np.uint64)
                 lo, hi = np.searchsorted(index[f], k, "left"), np.searchsorted(index[f], k, "right")
                 spans = [owner[f][a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if b > a]
                 if spans:
