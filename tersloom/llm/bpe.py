@@ -210,7 +210,7 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
                     if key not in seen:
                         rows[key] = body
             seen.update(rows)
-            if len(seen) > 200_000:  # a key that comes again is dropped in the aggregation
+            if len(seen) > 50_000:  # a key that comes again is dropped in the aggregation
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array(list(rows.values()), pa.binary())], names=["key", "body"])
 

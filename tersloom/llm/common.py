@@ -64,6 +64,9 @@ def dropped(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; the session's Arrow batches, if still of the default 10,000 rows, become batches of 1,000: whole texts are long rows."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -93,7 +96,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """p**k and p**-k modulo 2**64 for k < n; kept per worker."""
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 5 << 17)
         for i, base in enumerate((_P, _PINV)):
             a = np.full(size, base, np.uint64)
             a[0] = 1
@@ -135,7 +138,7 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of text at most; a longer text stands alone, whole."""
     for b in batches:
         if not b.num_rows:
