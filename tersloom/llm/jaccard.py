@@ -61,6 +61,9 @@ class Order:
         g, size = shingles(w, n)
         c = np.concatenate([self.cells[(w.hash >> _U(40)) & _U(CELLS - 1)], np.zeros(n, np.uint8)]).astype(np.uint64)
         cls = np.minimum(sum(c[j : len(c) - n + j] for j in range(n)), _U(63))
+        short = np.diff(w.first)
+        for i in np.flatnonzero((short > 0) & (short < n)).tolist():  # their own words only, not those of the next text
+            cls[w.first[i]] = min(63, int(c[w.first[i] : w.first[i + 1]].sum()))
         if len(self.frequent) and len(g):
             at = np.minimum(np.searchsorted(self.frequent, g), len(self.frequent) - 1)
             cls = np.where(self.frequent[at] == g, self.cls[at], cls)

@@ -132,6 +132,20 @@ def test_jaccard_odd(spark):
     assert jaccard.joined(odd(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80)])
+def test_jaccard_short_copies(spark, n, percent):
+    """Equal texts of fewer than n words are one class, whatever texts follow them."""
+    short = ["one", "one two", "one two three", "rare1", "common rare2"]
+    texts = [t for k in range(6) for s in short for t in (s, " ".join(["common"] * (3 * k) + [f"u{k}", s, f"v{k}"] * 3))]
+    want = brute_components(texts, list(range(len(texts))), n, percent)
+    frame = docs_frame(spark, texts)
+    for docs in (frame.coalesce(1), frame.repartition(7)):
+        got = {r["doc_id"]: r for r in jaccard.joined(docs, n, percent).collect()}
+        assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+        for s in short:
+            assert len({got[i]["class_id"] for i, t in enumerate(texts) if t == s}) == 1
+
+
 def simple_similarity(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
