@@ -35,19 +35,22 @@ def normalised(line: Column) -> Column:
 
 
 def exploded(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """d, th, line_no, line: every line. (d, th) is the document: its id and its text's hash."""
+    """_row, d, th, line_no, line: every line. (d, th) is the document: its id and its text's hash. Rows that repeat a document differ in _row only."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(t).alias("th"), F.posexplode(F.split(t, "\n")).alias("line_no", "line"))
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.select("_row", F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(t).alias("th"), F.posexplode(F.split(t, "\n")).alias("line_no", "line"))
 
 
 def simhashed(lines: DataFrame) -> DataFrame:
-    """d, th, line_no, l1, l2 (128 bits of the normalised line), s1, s2 (56 bits each) of every line that has a word."""
-    w = lines.select("d", "th", "line_no", normalised(F.col("line")).alias("norm")).filter("norm <> ''")
-    w = w.select("d", "th", "line_no", F.xxhash64("norm").alias("l1"), F.xxhash64("norm", F.lit("2")).alias("l2"), F.posexplode(F.array_distinct(F.split("norm", " "))).alias("pos", "word"))
-    w = w.select("d", "th", "line_no", "l1", "l2", F.expr(f"cast(pos div {SEGMENT} as int)").alias("seg"), F.xxhash64("word").alias("h1"), F.xxhash64("word", F.lit("2")).alias("h2"))
+    """d, th, line_no, l1, l2 (128 bits of the normalised line), s1, s2 (56 bits each) of every line that has a word. The words of each row are
+    added up by themselves, so a document that is given twice counts none twice: its lines come out as equal rows."""
+    w = lines.select("_row", "d", "th", "line_no", normalised(F.col("line")).alias("norm")).filter("norm <> ''")
+    w = w.select("_row", "d", "th", "line_no", F.xxhash64("norm").alias("l1"), F.xxhash64("norm", F.lit("2")).alias("l2"), F.posexplode(F.array_distinct(F.split("norm", " "))).alias("pos", "word"))
+    w = w.select("_row", "d", "th", "line_no", "l1", "l2", F.expr(f"cast(pos div {SEGMENT} as int)").alias("seg"), F.xxhash64("word").alias("h1"), F.xxhash64("word", F.lit("2")).alias("h2"))
     lanes = [F.sum(F.expr(f"shiftrightunsigned(h{k}, {i}) & {_ONES}L")).alias(f"a{k}{i}") for k in (1, 2) for i in range(8)]
-    part = w.groupBy("d", "th", "line_no", "l1", "l2", "seg").agg(F.count("*").alias("n"), F.max("seg").alias("top"), *lanes)
+    part = w.groupBy("_row", "d", "th", "line_no", "l1", "l2", "seg").agg(F.count("*").alias("n"), F.max("seg").alias("top"), *lanes)
     own = ["d", "th", "line_no", "l1", "l2"]
+    row = ["_row", *own]
 
     def majority(k: int) -> Column:
         """Bit j is set if more than half of the words have it: lane count > n div 2."""
@@ -55,7 +58,7 @@ def simhashed(lines: DataFrame) -> DataFrame:
 
     # a segment that is full, or not the first, belongs to a line of more than one segment (or of exactly 127 words)
     single = part.filter(f"n < {SEGMENT} and top = 0").select(*own, majority(1).alias("s1"), majority(2).alias("s2"))
-    many = part.filter(f"n = {SEGMENT} or top > 0").groupBy(*own).agg(F.sum("n").alias("n"), *(F.collect_list(F.array(*(F.col(f"a{k}{i}") for i in range(8)))).alias(f"a{k}") for k in (1, 2)))
+    many = part.filter(f"n = {SEGMENT} or top > 0").groupBy(*row).agg(F.sum("n").alias("n"), *(F.collect_list(F.array(*(F.col(f"a{k}{i}") for i in range(8)))).alias(f"a{k}") for k in (1, 2)))
 
     def counted(k: int) -> Column:
         """The same over segments, bit by bit."""
@@ -82,7 +85,7 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     lines = exploded(docs, doc_id, text)
     hashed = written(simhashed(lines), "lines")
-    distinct = written(hashed.groupBy("l1", "l2", "s1", "s2").agg(F.min(F.struct("d", "th", "line_no")).alias("id")), "distinct")
+    distinct = written(hashed.groupBy("l1", "l2").agg(F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min(F.struct("d", "th", "line_no")).alias("id")), "distinct")
     member = blocks(distinct)
     crowded = member.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     # most keys are alone; only rows of the others go on
@@ -105,7 +108,7 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = distinct.withColumn("x", F.struct("l1", "s1", "s2")).select("x", "l1", "l2", "id").join(groups, "x", "left")
     first = named.filter("component is not null").groupBy("component").agg(F.min("id").alias("first"))
     kept = named.join(first, "component", "left").select("l1", "l2", F.coalesce("first", "id").alias("keep"))
-    out = hashed.join(kept, ["l1", "l2"]).filter(F.struct("d", "th", "line_no") != F.col("keep")).select("d", "th", "line_no")
+    out = hashed.join(kept, ["l1", "l2"]).filter(F.struct("d", "th", "line_no") != F.col("keep")).select("d", "th", "line_no").distinct()
     out = written(out, "dups")
     for t in (hashed, star, checked, distinct, texts):
         dropped(t)

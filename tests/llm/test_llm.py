@@ -195,6 +195,18 @@ def test_line_dedup_brute_force(spark):
     assert all(kept & may[t] for t in first)
 
 
+def test_line_dedup_repeated_rows(spark):
+    """Rows that repeat an id and a text, or null ids with equal texts, are one document: lines of any length are kept once and removed elsewhere."""
+    texts, ids, want = [], [], []
+    for k, n in enumerate((40, 64, 100, 127, 128, 300)):
+        for first, null in ((10 * k, False), (None, True)):
+            texts += [" ".join(f"w{n}x{i}{null}" for i in range(n))] * 3
+            ids += [first, first, 10 * k + 1 + null]
+            want += [(first, []), (first, []), (10 * k + 1 + null, [0])]
+    got = [(r["doc_id"], r["removed"]) for r in lines.line_decisions(docs_frame(spark, texts, ids=ids)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_simhash_is_the_majority(spark):
     texts = [" ".join(words(n, n, 5000)) for n in (1, 2, 5, 126, 127, 128, 300, 1000)]
     frame = docs_frame(spark, texts)
