@@ -1,4 +1,4 @@
-"""Line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence kept of each connected group. [native]
+"""Line dedup: SimHash of normalised lines, pigeonhole blocks and MinHash planes, edit similarity, one occurrence kept of each connected group. [native]
 
 Only DataFrame functions. A line's SimHash has 112 bits, of its distinct words: a separator or article that a line repeats would else outvote the rest. Word hashes are added up in byte lanes of longs (eight sums for 56 bits), so a line is
 one aggregated row whatever its number of words, and the majority of every bit is read off with a few integer operations.
@@ -6,6 +6,7 @@ one aggregated row whatever its number of words, and the majority of every bit i
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +19,13 @@ from tersloom.llm.urls import bloom_filter, passing
 SEGMENT = 127
 #: Four blocks of 28 bits: lines whose hashes differ in at most three bits always share one.
 BLOCKS, BLOCK_BITS = 4, 28
-#: Pairs that share a block and differ in more bits than this are chance (unrelated lines differ in 56 on average).
-MOST_BITS = 22
+#: Minima of the words' hashes under this many squared orders (products with odd numbers), 12 bits of each; lines that share a fifth of them, along a line of the affine plane, meet.
+PLANE, MINIMUM_BITS = 5, 12
+_ORDERS = [int.from_bytes(hashlib.blake2b(b"%d" % i, digest_size=4).digest(), "big") >> 1 | 1 for i in range(PLANE**2)]
+#: The SimHash blocks, and the plane's classes of parallel lines: candidates are looked for in one at a time, so that few rows are on disk at once.
+BANDS = 1 + PLANE + 1
+#: Pairs that meet and differ in more bits than this are chance: unrelated lines differ in 56 on average, lines of a similarity of 0.8 in about 22.
+MOST_BITS = 36
 #: Least edit similarity: 1 - distance / longer length.
 SIMILARITY = 0.8
 _ONES = 0x0001010101010101
@@ -41,14 +47,22 @@ def exploded(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return numbered.select("_row", F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(t).alias("th"), F.posexplode(F.split(t, "\n")).alias("line_no", "line"))
 
 
+def packed(minima: list[Column]) -> list[Column]:
+    """k0, k1 ...: the last bits of PLANE minima each."""
+    low = (1 << MINIMUM_BITS) - 1
+    return [reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(minima[PLANE * x + y].bitwiseAND(F.lit(low)).cast("long"), MINIMUM_BITS * y) for y in range(PLANE))).alias(f"k{x}") for x in range(PLANE)]
+
+
 def simhashed(lines: DataFrame) -> DataFrame:
-    """d, th, line_no, l1, l2 (128 bits of the normalised line), s1, s2 (56 bits each) of every line that has a word. The words of each row are
+    """d, th, line_no, l1, l2 (128 bits of the normalised line), s1, s2 (56 bits each), k0 to k4 (minima of the words, see packed) of every line that has a word. The words of each row are
     added up by themselves, so a document that is given twice counts none twice: its lines come out as equal rows."""
     w = lines.select("_row", "d", "th", "line_no", normalised(F.col("line")).alias("norm")).filter("norm <> ''")
     w = w.select("_row", "d", "th", "line_no", F.xxhash64("norm").alias("l1"), F.xxhash64("norm", F.lit("2")).alias("l2"), F.posexplode(F.array_distinct(F.split("norm", " "))).alias("pos", "word"))
     w = w.select("_row", "d", "th", "line_no", "l1", "l2", F.expr(f"cast(pos div {SEGMENT} as int)").alias("seg"), F.xxhash64("word").alias("h1"), F.xxhash64("word", F.lit("2")).alias("h2"))
     lanes = [F.sum(F.expr(f"shiftrightunsigned(h{k}, {i}) & {_ONES}L")).alias(f"a{k}{i}") for k in (1, 2) for i in range(8)]
-    part = w.groupBy("_row", "d", "th", "line_no", "l1", "l2", "seg").agg(F.count("*").alias("n"), F.max("seg").alias("top"), *lanes)
+    least = [F.min(F.expr(f"cast(((h1 & 2147483647L) * {c}L) & 2147483647L as int)")).alias(f"m{i}") for i, c in enumerate(_ORDERS)]
+    minima = [F.col(f"m{i}") for i in range(len(_ORDERS))]
+    part = w.groupBy("_row", "d", "th", "line_no", "l1", "l2", "seg").agg(F.count("*").alias("n"), F.max("seg").alias("top"), *lanes, *least)
     own = ["d", "th", "line_no", "l1", "l2"]
     row = ["_row", *own]
 
@@ -57,52 +71,87 @@ def simhashed(lines: DataFrame) -> DataFrame:
         return reduce(lambda x, y: x.bitwiseOR(y), (F.expr(f"shiftleft(shiftrightunsigned((a{k}{i} + (127 - n div 2) * {_ONES}L) & {_HIGH}L, 7), {i})") for i in range(8)))
 
     # a segment that is full, or not the first, belongs to a line of more than one segment (or of exactly 127 words)
-    single = part.filter(f"n < {SEGMENT} and top = 0").select(*own, majority(1).alias("s1"), majority(2).alias("s2"))
-    many = part.filter(f"n = {SEGMENT} or top > 0").groupBy(*row).agg(F.sum("n").alias("n"), *(F.collect_list(F.array(*(F.col(f"a{k}{i}") for i in range(8)))).alias(f"a{k}") for k in (1, 2)))
+    single = part.filter(f"n < {SEGMENT} and top = 0").select(*own, majority(1).alias("s1"), majority(2).alias("s2"), *packed(minima))
+    many = part.filter(f"n = {SEGMENT} or top > 0").groupBy(*row).agg(F.sum("n").alias("n"), *(F.collect_list(F.array(*(F.col(f"a{k}{i}") for i in range(8)))).alias(f"a{k}") for k in (1, 2)), *(F.min(m).alias(f"m{i}") for i, m in enumerate(minima)))
 
     def counted(k: int) -> Column:
         """The same over segments, bit by bit."""
         return F.expr(f"aggregate(sequence(0, 55), 0L, (bits, j) -> bits | if(aggregate(a{k}, 0L, (c, s) -> c + (shiftrightunsigned(s[j % 8], cast(8 * (j div 8) as int)) & 255L)) > n div 2, shiftleft(1L, j), 0L))")
 
-    return single.unionByName(many.select(*own, counted(1).alias("s1"), counted(2).alias("s2")))
+    return single.unionByName(many.select(*own, counted(1).alias("s1"), counted(2).alias("s2"), *packed(minima)))
+
+
+def band_keys(band: int) -> list[Column]:
+    """Band 0: block number and bits of the SimHash. Others: PLANE minima along each of a class of parallel lines of the plane."""
+    if band == 0:
+        low = (1 << BLOCK_BITS) - 1
+        return [F.expr(f"(shiftrightunsigned(s{1 + i // 2}, {BLOCK_BITS * (i % 2)}) & {low}L) + {i << BLOCK_BITS}L") for i in range(BLOCKS)]
+    if band == BANDS - 1:
+        return [F.xxhash64(f"k{x}", F.lit(band * PLANE + x)) for x in range(PLANE)]
+    low = (1 << MINIMUM_BITS) - 1
+    at = lambda x, i: F.expr(f"shiftrightunsigned(k{x}, {MINIMUM_BITS * (((band - 1) * x + i) % PLANE)}) & {low}L")
+    return [F.xxhash64(*(at(x, i) for x in range(PLANE)), F.lit(band * PLANE + i)) for i in range(PLANE)]
+
 
+def blocks(lines: DataFrame, bands: list[int]) -> DataFrame:
+    """key, x: a row for each line and block. x = (l1, s1, s2) tells a line, 176 bits of its words."""
+    return lines.select(F.explode(F.array(*(k for b in bands for k in band_keys(b)))).alias("key"), F.struct("l1", "s1", "s2").alias("x"))
 
-def blocks(lines: DataFrame) -> DataFrame:
-    """A row for each line and block; key: block number and its bits. A line is told by l1, s1 and s2 together, 176 bits of its words."""
-    low = (1 << BLOCK_BITS) - 1
-    keys = [F.expr(f"(shiftrightunsigned(s{1 + i // 2}, {BLOCK_BITS * (i % 2)}) & {low}L) + {i << BLOCK_BITS}L") for i in range(BLOCKS)]
-    return lines.select(F.explode(F.array(*keys)).alias("key"), "l1", "s1", "s2")
+
+def bits_between(x: str, y: str) -> Column:
+    return F.expr(f"bit_count({x}.s1 ^ {y}.s1) + bit_count({x}.s2 ^ {y}.s2)")
+
+
+def candidates(distinct: DataFrame, band: int) -> DataFrame:
+    """x, y, held: pairs of the band's blocks that differ in few bits. Every member is compared with its block's smallest, the pivot (held); members far
+    from it are compared with all others of the block here, those that turn out to be unlike it in ``duplicate_lines``."""
+    member = blocks(distinct, [band])
+    crowded = member.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # only rows of keys that are not alone go on
+    member = written(member.join(crowded, "key").select("key", "n", "x"), "members")
+    pivots = member.groupBy("key").agg(F.min("x").alias("p"))
+    star = written(member.join(pivots, "key").filter("x <> p").withColumn("bits", bits_between("x", "p")), "star")
+    dropped(member)
+    near = star.filter(F.col("bits") <= MOST_BITS).select("x", F.col("p").alias("y"), F.lit(True).alias("held"))
+    far = star.filter((F.col("n") > 2) & (F.col("bits") > MOST_BITS)).select("key", "x")
+    rest = star.filter("n > 2").select("key", F.col("x").alias("y"))
+    more = far.join(rest, "key").filter((F.col("x") != F.col("y")) & (bits_between("x", "y") <= MOST_BITS))
+    more = more.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"), F.lit(False).alias("held"))
+    out = written(near.unionByName(more).groupBy("x", "y").agg(F.max("held").alias("held")), "candidates")
+    dropped(star)
+    return out
 
 
 def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """d, th, line_no of every line that repeats an earlier occurrence exactly (normalised) or nearly.
 
     1. Equal normalised lines fall together by hash with map-side partial results; a line in a third of all documents is one row then.
-    2. Distinct lines meet by block. In each block one pivot is compared with every member; members that are not like the pivot are then
-       compared with all other members, so no pair that shares a block is missed and a hot block of alike lines stays linear.
+    2. Distinct lines meet by blocks of the SimHash and by minima of their words. In each block one pivot is compared with every member; members that
+       are not like the pivot are then compared with all other members, so no pair that shares a block and differs in few bits is missed and a hot
+       block of alike lines stays linear. Pairs in which most words differ (a typo in every word) share no minima and meet by chance only.
     3. Pairs that differ in few bits are verified by edit similarity on their texts, which are fetched through a broadcast Bloom filter of
        fixed size and an exact join. Links give components; the smallest (doc_id, line) of each is kept.
     """
     lines = exploded(docs, doc_id, text)
     hashed = written(simhashed(lines), "lines")
-    distinct = written(hashed.groupBy("l1", "l2").agg(F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min(F.struct("d", "th", "line_no")).alias("id")), "distinct")
-    member = blocks(distinct)
-    crowded = member.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    # most keys are alone; only rows of the others go on
-    member = written(member.join(crowded, "key").select("key", "n", F.struct("l1", "s1", "s2").alias("x")), "members")
-    pivots = member.groupBy("key").agg(F.min("x").alias("p"))
-    star = written(member.join(pivots, "key").filter("x <> p").withColumn("bits", F.expr("bit_count(x.s1 ^ p.s1) + bit_count(x.s2 ^ p.s2)")), "star")
-    dropped(member)
-    near = star.filter(F.col("bits") <= MOST_BITS).select("x", F.col("p").alias("y")).distinct()
-    # all lines that either round can ask for, fetched at once
-    asked = near.select(F.explode(F.array("x", "y")).alias("x")).unionByName(star.filter("n > 2").select("x")).distinct()
-    texts = texts_of(asked, distinct, lines)
+    distinct = written(hashed.groupBy("l1", "l2").agg(F.min("s1").alias("s1"), F.min("s2").alias("s2"), *(F.min(f"k{x}").alias(f"k{x}") for x in range(PLANE)), F.min(F.struct("d", "th", "line_no")).alias("id")), "distinct")
+    bands = [candidates(distinct, b) for b in range(BANDS)]
+    near = written(reduce(DataFrame.unionByName, bands).groupBy("x", "y").agg(F.max("held").alias("held")), "near")
+    for t in bands:
+        dropped(t)
+    texts = texts_of(near.select(F.explode(F.array("x", "y")).alias("x")).distinct(), distinct, lines)
     checked = written(verified(near, texts), "pairs")
-    # members that their pivot does not hold, against the rest of the block; bits are compared inside the join
-    failed = star.filter("n > 2").join(checked.select("x", F.col("y").alias("p")), ["x", "p"], "left_anti").select("key", "x")
-    rest = star.filter("n > 2").select("key", F.col("x").alias("y"))
-    more = failed.join(rest, "key").filter((F.col("x") != F.col("y")) & (F.expr("bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2)") <= MOST_BITS))
-    more = more.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    dropped(texts)
+    # members that their pivot does not hold, against the rest of the blocks that they share with it; bits are compared inside the join
+    failed = near.filter("held").join(checked, ["x", "y"], "left_anti").select("x", "y")
+    keyed = distinct.select(F.struct("l1", "s1", "s2").alias("x"), F.array(*(k for b in range(BANDS) for k in band_keys(b))).alias("keys"))
+    failed = failed.join(keyed, "x").join(keyed.select(F.col("x").alias("y"), F.col("keys").alias("others")), "y")
+    failed = written(failed.select(F.explode(F.array_intersect("keys", "others")).alias("key"), "x").distinct(), "failed")
+    rest = passing(blocks(distinct, list(range(BANDS))), "key", bloom_filter(failed, "key")).filter("maybe_listed").select("key", F.col("x").alias("y"))
+    more = failed.join(rest, "key").filter((F.col("x") != F.col("y")) & (bits_between("x", "y") <= MOST_BITS))
+    more = more.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct().join(near, ["x", "y"], "left_anti")
+    more = written(more, "more")
+    texts = texts_of(more.select(F.explode(F.array("x", "y")).alias("x")).distinct(), distinct, lines)
     links = checked.unionByName(written(verified(more, texts), "pairs"))
     groups = connected_components(links, "x", "y").select(F.col("node").alias("x"), "component")
     named = distinct.withColumn("x", F.struct("l1", "s1", "s2")).select("x", "l1", "l2", "id").join(groups, "x", "left")
@@ -110,7 +159,7 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     kept = named.join(first, "component", "left").select("l1", "l2", F.coalesce("first", "id").alias("keep"))
     out = hashed.join(kept, ["l1", "l2"]).filter(F.struct("d", "th", "line_no") != F.col("keep")).select("d", "th", "line_no").distinct()
     out = written(out, "dups")
-    for t in (hashed, star, checked, distinct, texts):
+    for t in (hashed, near, checked, failed, more, distinct, texts):
         dropped(t)
     return out
 

@@ -207,6 +207,28 @@ def test_line_dedup_repeated_rows(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_line_dedup_recall(spark):
+    """Recall against brute-force edit similarity: pairs of lines with some words changed, or a typo in some, that are similar at 0.8 or more."""
+    r = random.Random(12)
+    texts, kinds = [], []
+    for n in (10, 20, 50):
+        for changed in (1, n // 5):
+            for typo in (False, True):
+                for _ in range(60):
+                    a = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 9))) for _ in range(n)]
+                    b = list(a)
+                    for i in r.sample(range(n), changed):
+                        b[i] = b[i][:1] + "0" + b[i][2:] if typo else "".join(r.choice("0123456789") for _ in b[i])
+                    if simple_similarity(" ".join(a), " ".join(b)) >= 0.8:
+                        texts += [" ".join(a), " ".join(b)]
+                        kinds.append((n, changed, typo))
+    got = {x["doc_id"]: x["n_removed"] for x in lines.line_decisions(docs_frame(spark, texts)).collect()}
+    assert not any(got[i] for i in range(0, len(texts), 2))
+    recall = {k: np.mean([got[2 * i + 1] for i, x in enumerate(kinds) if x == k]) for k in set(kinds)}
+    print(sorted(recall.items()))
+    assert min(recall.values()) >= 0.8 and np.mean([got[2 * i + 1] for i in range(len(kinds))]) >= 0.9
+
+
 def test_simhash_is_the_majority(spark):
     texts = [" ".join(words(n, n, 5000)) for n in (1, 2, 5, 126, 127, 128, 300, 1000)]
     frame = docs_frame(spark, texts)
