@@ -1,7 +1,9 @@
 """Line dedup: SimHash of normalised lines, pigeonhole blocks and MinHash planes, edit similarity, one occurrence kept of each connected group. [native]
 
-Only DataFrame functions. A line's SimHash has 112 bits, of its distinct words: a separator or article that a line repeats would else outvote the rest. Word hashes are added up in byte lanes of longs (eight sums for 56 bits), so a line is
-one aggregated row whatever its number of words, and the majority of every bit is read off with a few integer operations.
+Only DataFrame functions. A line's features are its distinct words: a separator or article that a line repeats would else outvote the rest. A line of
+more than SKETCH distinct words is hashed by those of the smallest hashes, a sample that similar lines share; texts are compared whole. Word hashes are
+added up in byte lanes of longs (eight sums for 56 bits), so a line is one aggregated row, and the majority of every bit is read off with a few integer
+operations.
 """
 
 from __future__ import annotations
@@ -15,36 +17,48 @@ from pyspark.sql import functions as F
 from tersloom.llm.common import connected_components, dropped, table, written
 from tersloom.llm.urls import bloom_filter, passing
 
-#: Words of a segment: a byte lane counts to 127.
-SEGMENT = 127
+#: Words that a line is hashed by, at most: the distinct ones with the smallest hashes. A byte lane counts to 127.
+SKETCH = 64
 #: Four blocks of 28 bits: lines whose hashes differ in at most three bits always share one.
 BLOCKS, BLOCK_BITS = 4, 28
 #: Minima of the words' hashes under this many squared orders (products with odd numbers), 12 bits of each; lines that share a fifth of them, along a line of the affine plane, meet.
 PLANE, MINIMUM_BITS = 5, 12
 _ORDERS = [int.from_bytes(hashlib.blake2b(b"%d" % i, digest_size=4).digest(), "big") >> 1 | 1 for i in range(PLANE**2)]
-#: The SimHash blocks, and the plane's classes of parallel lines: candidates are looked for in one at a time, so that few rows are on disk at once.
+#: The SimHash blocks (0), and the plane's classes of parallel lines. Candidates are looked for in one group at a time, so that few rows are on disk at once.
 BANDS = 1 + PLANE + 1
+PASSES = [[0, 1, 2], [3, 4], [5, 6]]
 #: Pairs that meet and differ in more bits than this are chance: unrelated lines differ in 56 on average, lines of a similarity of 0.8 in about 22.
 MOST_BITS = 36
 #: Least edit similarity: 1 - distance / longer length.
 SIMILARITY = 0.8
+#: Members of a block that one row of a split block's smaller side is compared with, about.
+SPLIT = 2048
+#: Salts of the join that finds the copies of a line: one line may be a third of all lines.
+SALTS = 16
 _ONES = 0x0001010101010101
 _HIGH = 0x0080808080808080
 _NO_ID = -(2**63)
 
 
-def normalised(line: Column) -> Column:
-    """Lower-cased words with one blank between them; the pattern runs only where some other white space is."""
-    low = F.lower(line)
-    other = reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in ("  ", "\t", "\x0b", "\f", "\r")))
-    return F.trim(F.when(other, F.regexp_replace(low, r"[\x20\x09-\x0D]+", " ")).otherwise(low))
+def document_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """(d, th): a document's id and its text's hash. A null id is the smallest one, and its hash differs from that of a document that has this id."""
+    return F.coalesce(doc_id.cast("long"), F.lit(_NO_ID)), F.xxhash64(F.coalesce(text, F.lit("")), doc_id.isNull())
 
 
-def exploded(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """_row, d, th, line_no, line: every line. (d, th) is the document: its id and its text's hash. Rows that repeat a document differ in _row only."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.select("_row", F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(t).alias("th"), F.posexplode(F.split(t, "\n")).alias("line_no", "line"))
+def exploded(docs: DataFrame, doc_id: str, text: str, asked: DataFrame | None = None) -> DataFrame:
+    """d, th, line_no, norm of every line that has a word: norm is the line's words in lower case with one blank between them. ``asked``: only documents
+    that pass a filter of these keys (column ``doc``).
+
+    Case and white space are settled a document at a time; the pattern runs only where some white space is no single blank or line end."""
+    d, th = document_key(F.col(doc_id), F.col(text))
+    rows = docs.select(d.alias("d"), th.alias("th"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    if asked is not None:
+        rows = passing(rows.withColumn("doc", F.xxhash64("d", "th")), "doc", bloom_filter(asked, "doc")).filter("maybe_listed")
+    rows = rows.select("d", "th", F.lower("t").alias("t"))
+    other = reduce(lambda a, b: a | b, (F.contains("t", F.lit(x)) for x in ("  ", "\t", "\x0b", "\f", "\r")))
+    rows = rows.select("d", "th", F.when(other, F.regexp_replace("t", r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(F.col("t")).alias("t"))
+    rows = rows.select("d", "th", F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
+    return rows.select("d", "th", "line_no", F.trim("line").alias("norm")).filter("norm <> ''")
 
 
 def packed(minima: list[Column]) -> list[Column]:
@@ -54,31 +68,21 @@ def packed(minima: list[Column]) -> list[Column]:
 
 
 def simhashed(lines: DataFrame) -> DataFrame:
-    """d, th, line_no, l1, l2 (128 bits of the normalised line), s1, s2 (56 bits each), k0 to k4 (minima of the words, see packed) of every line that has a word. The words of each row are
-    added up by themselves, so a document that is given twice counts none twice: its lines come out as equal rows."""
-    w = lines.select("_row", "d", "th", "line_no", normalised(F.col("line")).alias("norm")).filter("norm <> ''")
-    w = w.select("_row", "d", "th", "line_no", F.xxhash64("norm").alias("l1"), F.xxhash64("norm", F.lit("2")).alias("l2"), F.posexplode(F.array_distinct(F.split("norm", " "))).alias("pos", "word"))
-    w = w.select("_row", "d", "th", "line_no", "l1", "l2", F.expr(f"cast(pos div {SEGMENT} as int)").alias("seg"), F.xxhash64("word").alias("h1"), F.xxhash64("word", F.lit("2")).alias("h2"))
+    """d, th, line_no, l1, l2 (128 bits of the normalised line), s1, s2 (56 bits each), k0 to k4 (minima of the words, see packed) of every line. Every row
+    of ``lines`` is added up by itself, so a document that is given twice counts no word twice: its lines come out as equal rows."""
+    words = F.slice(F.sort_array(F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))), 1, SKETCH)
+    own = ["d", "th", "line_no", "l1", "l2"]
+    w = lines.select("d", "th", "line_no", F.xxhash64("norm").alias("l1"), F.xxhash64("norm", F.lit("2")).alias("l2"), F.monotonically_increasing_id().alias("row"), words.alias("words"))
+    w = w.select("row", *own, F.explode("words").alias("h1")).withColumn("h2", F.xxhash64("h1"))
     lanes = [F.sum(F.expr(f"shiftrightunsigned(h{k}, {i}) & {_ONES}L")).alias(f"a{k}{i}") for k in (1, 2) for i in range(8)]
     least = [F.min(F.expr(f"cast(((h1 & 2147483647L) * {c}L) & 2147483647L as int)")).alias(f"m{i}") for i, c in enumerate(_ORDERS)]
-    minima = [F.col(f"m{i}") for i in range(len(_ORDERS))]
-    part = w.groupBy("_row", "d", "th", "line_no", "l1", "l2", "seg").agg(F.count("*").alias("n"), F.max("seg").alias("top"), *lanes, *least)
-    own = ["d", "th", "line_no", "l1", "l2"]
-    row = ["_row", *own]
+    sums = w.groupBy("row", *own).agg(F.count("*").alias("n"), *lanes, *least)
 
     def majority(k: int) -> Column:
         """Bit j is set if more than half of the words have it: lane count > n div 2."""
         return reduce(lambda x, y: x.bitwiseOR(y), (F.expr(f"shiftleft(shiftrightunsigned((a{k}{i} + (127 - n div 2) * {_ONES}L) & {_HIGH}L, 7), {i})") for i in range(8)))
 
-    # a segment that is full, or not the first, belongs to a line of more than one segment (or of exactly 127 words)
-    single = part.filter(f"n < {SEGMENT} and top = 0").select(*own, majority(1).alias("s1"), majority(2).alias("s2"), *packed(minima))
-    many = part.filter(f"n = {SEGMENT} or top > 0").groupBy(*row).agg(F.sum("n").alias("n"), *(F.collect_list(F.array(*(F.col(f"a{k}{i}") for i in range(8)))).alias(f"a{k}") for k in (1, 2)), *(F.min(m).alias(f"m{i}") for i, m in enumerate(minima)))
-
-    def counted(k: int) -> Column:
-        """The same over segments, bit by bit."""
-        return F.expr(f"aggregate(sequence(0, 55), 0L, (bits, j) -> bits | if(aggregate(a{k}, 0L, (c, s) -> c + (shiftrightunsigned(s[j % 8], cast(8 * (j div 8) as int)) & 255L)) > n div 2, shiftleft(1L, j), 0L))")
-
-    return single.unionByName(many.select(*own, counted(1).alias("s1"), counted(2).alias("s2"), *packed(minima)))
+    return sums.select(*own, majority(1).alias("s1"), majority(2).alias("s2"), *packed([F.col(f"m{i}") for i in range(len(_ORDERS))]))
 
 
 def band_keys(band: int) -> list[Column]:
@@ -94,32 +98,43 @@ def band_keys(band: int) -> list[Column]:
 
 
 def blocks(lines: DataFrame, bands: list[int]) -> DataFrame:
-    """key, x: a row for each line and block. x = (l1, s1, s2) tells a line, 176 bits of its words."""
-    return lines.select(F.explode(F.array(*(k for b in bands for k in band_keys(b)))).alias("key"), F.struct("l1", "s1", "s2").alias("x"))
+    """key, l1, s1, s2: a row for each line and block."""
+    return lines.select("l1", "s1", "s2", F.explode(F.array(*(k for b in bands for k in band_keys(b)))).alias("key"))
 
 
 def bits_between(x: str, y: str) -> Column:
     return F.expr(f"bit_count({x}.s1 ^ {y}.s1) + bit_count({x}.s2 ^ {y}.s2)")
 
 
-def candidates(distinct: DataFrame, band: int) -> DataFrame:
-    """x, y, held: pairs of the band's blocks that differ in few bits. Every member is compared with its block's smallest, the pivot (held); members far
-    from it are compared with all others of the block here, those that turn out to be unlike it in ``duplicate_lines``."""
-    member = blocks(distinct, [band])
-    crowded = member.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    # only rows of keys that are not alone go on
-    member = written(member.join(crowded, "key").select("key", "n", "x"), "members")
-    pivots = member.groupBy("key").agg(F.min("x").alias("p"))
-    star = written(member.join(pivots, "key").filter("x <> p").withColumn("bits", bits_between("x", "p")), "star")
-    dropped(member)
+def against_all(asking: DataFrame, members: DataFrame) -> DataFrame:
+    """(x, y), x > y: each asking row (key, n, x) with each member (key, n, x) of its block that differs in few bits. A block of n members is split into
+    n div SPLIT + 1 parts by the hash of its members, and each asking row goes to all of them: no task holds a hot block."""
+    parts = F.expr(f"cast(n div {SPLIT} as int)")
+    left = asking.select("key", "x", F.explode(F.sequence(F.lit(0), parts)).alias("part"))
+    right = members.select("key", F.col("x").alias("y"), F.pmod(F.xxhash64("x"), parts + 1).cast("int").alias("part"))
+    pairs = left.join(right, ["key", "part"]).filter((F.col("x") != F.col("y")) & (bits_between("x", "y") <= MOST_BITS))
+    return pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+
+
+def candidates(distinct: DataFrame, bands: list[int], name: str) -> tuple[DataFrame, DataFrame]:
+    """Two tables: (x, y, held), pairs of the bands' blocks that differ in few bits, and (key, n, x), the members of all blocks of three or more; x = (l1, s1, s2)
+    tells a line, 176 bits of its words. Every member is compared with its block's smallest, the pivot (held); members far from it are compared with all
+    others of the block here, those that turn out to be unlike it in ``duplicate_lines``."""
+    every = blocks(distinct, bands)
+    crowded = written(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "crowded")
+    # a filter of fixed size keeps rows of keys that are alone from moving; the exact join leaves out the rest
+    member = passing(every, "key", bloom_filter(crowded, "key")).filter("maybe_listed").select("key", F.struct("l1", "s1", "s2").alias("x")).join(crowded, "key")
+    member = written(member.select("key", "n", "x"), "members")
+    dropped(crowded)
+    star = member.join(member.groupBy("key").agg(F.min("x").alias("p")), "key").filter("x <> p").withColumn("bits", bits_between("x", "p"))
+    star = written(star, "star")
     near = star.filter(F.col("bits") <= MOST_BITS).select("x", F.col("p").alias("y"), F.lit(True).alias("held"))
-    far = star.filter((F.col("n") > 2) & (F.col("bits") > MOST_BITS)).select("key", "x")
-    rest = star.filter("n > 2").select("key", F.col("x").alias("y"))
-    more = far.join(rest, "key").filter((F.col("x") != F.col("y")) & (bits_between("x", "y") <= MOST_BITS))
-    more = more.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"), F.lit(False).alias("held"))
-    out = written(near.unionByName(more).groupBy("x", "y").agg(F.max("held").alias("held")), "candidates")
+    far = against_all(star.filter((F.col("n") > 2) & (F.col("bits") > MOST_BITS)), star.filter("n > 2"))
+    pairs = written(near.unionByName(far.withColumn("held", F.lit(False))).groupBy("x", "y").agg(F.max("held").alias("held")), name)
     dropped(star)
-    return out
+    large = written(member.filter("n > 2"), f"large-{name}")
+    dropped(member)
+    return pairs, large
 
 
 def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,96 +145,125 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
        are not like the pivot are then compared with all other members, so no pair that shares a block and differs in few bits is missed and a hot
        block of alike lines stays linear. Pairs in which most words differ (a typo in every word) share no minima and meet by chance only.
     3. Pairs that differ in few bits are verified by edit similarity on their texts, which are fetched through a broadcast Bloom filter of
-       fixed size and an exact join. Links give components; the smallest (doc_id, line) of each is kept.
+       fixed size and an exact join. Links are between the lines' first occurrences, so a component's smallest node is the occurrence to keep;
+       lines without a link take part in no join.
     """
-    lines = exploded(docs, doc_id, text)
-    hashed = written(simhashed(lines), "lines")
-    distinct = written(hashed.groupBy("l1", "l2").agg(F.min("s1").alias("s1"), F.min("s2").alias("s2"), *(F.min(f"k{x}").alias(f"k{x}") for x in range(PLANE)), F.min(F.struct("d", "th", "line_no")).alias("id")), "distinct")
-    bands = [candidates(distinct, b) for b in range(BANDS)]
-    near = written(reduce(DataFrame.unionByName, bands).groupBy("x", "y").agg(F.max("held").alias("held")), "near")
-    for t in bands:
-        dropped(t)
-    texts = texts_of(near.select(F.explode(F.array("x", "y")).alias("x")).distinct(), distinct, lines)
-    checked = written(verified(near, texts), "pairs")
-    dropped(texts)
-    # members that their pivot does not hold, against the rest of the blocks that they share with it; bits are compared inside the join
-    failed = near.filter("held").join(checked, ["x", "y"], "left_anti").select("x", "y")
-    keyed = distinct.select(F.struct("l1", "s1", "s2").alias("x"), F.array(*(k for b in range(BANDS) for k in band_keys(b))).alias("keys"))
-    failed = failed.join(keyed, "x").join(keyed.select(F.col("x").alias("y"), F.col("keys").alias("others")), "y")
-    failed = written(failed.select(F.explode(F.array_intersect("keys", "others")).alias("key"), "x").distinct(), "failed")
-    rest = passing(blocks(distinct, list(range(BANDS))), "key", bloom_filter(failed, "key")).filter("maybe_listed").select("key", F.col("x").alias("y"))
-    more = failed.join(rest, "key").filter((F.col("x") != F.col("y")) & (bits_between("x", "y") <= MOST_BITS))
-    more = more.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct().join(near, ["x", "y"], "left_anti")
-    more = written(more, "more")
-    texts = texts_of(more.select(F.explode(F.array("x", "y")).alias("x")).distinct(), distinct, lines)
-    links = checked.unionByName(written(verified(more, texts), "pairs"))
-    groups = connected_components(links, "x", "y").select(F.col("node").alias("x"), "component")
-    named = distinct.withColumn("x", F.struct("l1", "s1", "s2")).select("x", "l1", "l2", "id").join(groups, "x", "left")
-    first = named.filter("component is not null").groupBy("component").agg(F.min("id").alias("first"))
-    kept = named.join(first, "component", "left").select("l1", "l2", F.coalesce("first", "id").alias("keep"))
-    out = hashed.join(kept, ["l1", "l2"]).filter(F.struct("d", "th", "line_no") != F.col("keep")).select("d", "th", "line_no").distinct()
-    out = written(out, "dups")
-    for t in (hashed, near, checked, failed, more, distinct, texts):
+    hashed = written(simhashed(exploded(docs, doc_id, text)), "lines")
+    first = F.min(F.struct("d", "th", "line_no")).alias("id")
+    distinct = written(hashed.groupBy("l1", "l2").agg(F.count("*").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), *(F.min(f"k{x}").alias(f"k{x}") for x in range(PLANE)), first), "distinct")
+    found = [candidates(distinct, bands, f"candidates-{i}") for i, bands in enumerate(PASSES)]
+    near = written(reduce(DataFrame.unionByName, (p for p, _ in found)).groupBy("x", "y").agg(F.max("held").alias("held")), "near")
+    texts = texts_of(near, distinct, docs, doc_id, text)
+    checked = written(verified(near, texts), "checked")
+    # members that their pivot does not hold, against the rest of the blocks that they share with it
+    failed = near.filter("held").join(checked, ["x", "y"], "left_anti").select("x").distinct()
+    large = reduce(DataFrame.unionByName, (m for _, m in found))
+    more = written(against_all(large.join(failed, "x"), large).join(near, ["x", "y"], "left_anti"), "more")
+    links = checked.select("a", "b")
+    if not more.isEmpty():
+        dropped(texts)
+        texts = texts_of(more, distinct, docs, doc_id, text)
+        links = links.unionByName(verified(more, texts).select("a", "b"))
+    groups = connected_components(links)
+    nearly = groups.filter("node <> component").select("node.*")
+    copied = distinct.filter("n > 1").select("l1", "l2", "id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    exactly = hashed.withColumn("salt", F.pmod(F.xxhash64("d", "line_no"), F.lit(SALTS)).cast("int")).join(copied, ["l1", "l2", "salt"]).filter(F.struct("d", "th", "line_no") != F.col("id")).select("d", "th", "line_no")
+    out = written(exactly.unionByName(nearly).distinct(), "dups")
+    for t in (hashed, near, checked, more, distinct, texts, groups, *(t for pair in found for t in pair)):
         dropped(t)
     return out
 
 
-def texts_of(asked: DataFrame, distinct: DataFrame, lines: DataFrame) -> DataFrame:
-    """(x, norm): the normal form of each distinct line asked for, from its first occurrence."""
+def texts_of(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(x, id, norm): the first occurrence and the normal form of each distinct line in ``pairs``."""
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("x")).distinct()
     ids = written(distinct.select(F.struct("l1", "s1", "s2").alias("x"), "id").join(asked, "x").groupBy("x").agg(F.min("id").alias("id")), "ids")
-    at = lines.withColumn("idh", F.xxhash64("d", "th", "line_no"))
-    maybe = passing(at, "idh", bloom_filter(ids.select(F.xxhash64("id.d", "id.th", "id.line_no").alias("idh")), "idh")).filter("maybe_listed")
-    some = maybe.select(F.struct("d", "th", "line_no").alias("id"), normalised(F.col("line")).alias("norm"))
-    return written(some.join(ids, "id").select("x", "norm").dropDuplicates(["x"]), "texts")
+    lines = exploded(docs, doc_id, text, ids.select(F.xxhash64("id.d", "id.th").alias("doc"))).withColumn("at", F.xxhash64("d", "th", "line_no"))
+    maybe = passing(lines, "at", bloom_filter(ids.select(F.xxhash64("id.d", "id.th", "id.line_no").alias("at")), "at")).filter("maybe_listed")
+    some = maybe.select(F.struct("d", "th", "line_no").alias("id"), "norm")
+    out = written(some.join(ids, "id").select("x", "id", "norm").dropDuplicates(["x"]), "texts")
+    dropped(ids)
+    return out
 
 
-#: Words of the pieces whose distances bound a long line's distance from above.
+#: Words of the pieces that lines of equal word counts are compared by.
 PIECE = 4
+#: Parts of the allowed distance that are tried first: the distance's cost grows with its bound.
+BOUNDS = (8, 3)
+
+
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row: what reads them is not pushed through the generator, where it would compute them again."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose normalised lines have an edit similarity of at least SIMILARITY.
+    """x, y, and a, b (their first occurrences) of the pairs whose normalised lines have an edit similarity of at least SIMILARITY.
 
-    Lines of equal word counts are first compared piece by piece: the sum of their pieces' distances is no less than the distance, so if it is small
-    enough the pair is similar. Only what that leaves open needs the whole distance, which costs the square of a line's length.
+    The words that both lines begin and end with are cut off, which changes no distance. What is left is no farther apart than its longer side is long.
+    Words that stand once in each side are anchors; if their order is the same, the sides are no farther apart than the stretches between the anchors
+    together. Lines of equal word counts are no farther apart than their pieces of PIECE words together. What these bounds leave open takes the whole distance, whose cost is a length times a bound, so small bounds are tried first.
     """
-    j = pairs.join(texts, "x").join(texts.select(F.col("x").alias("y"), F.col("norm").alias("norm2")), "y")
+    j = pairs.join(texts, "x").join(texts.select(F.col("x").alias("y"), F.col("id").alias("id2"), F.col("norm").alias("norm2")), "y")
     allowed = F.expr("cast(floor(greatest(length(norm), length(norm2)) * %r + 1e-9) as int)" % round(1 - SIMILARITY, 9))
-    j = j.withColumn("allowed", allowed).filter(F.abs(F.length("norm") - F.length("norm2")) <= F.col("allowed"))
-    j = j.withColumn("wa", F.split("norm", " ")).withColumn("wb", F.split("norm2", " "))
-    pieces = f"aggregate(sequence(0, (size(wa) - 1) div {PIECE}), 0, (s, i) -> s + levenshtein(array_join(slice(wa, i * {PIECE} + 1, {PIECE}), ' '), array_join(slice(wb, i * {PIECE} + 1, {PIECE}), ' ')))"
-    similar = F.expr(f"case when size(wa) = size(wb) and size(wa) > {2 * PIECE} and {pieces} <= allowed then true else levenshtein(norm, norm2, allowed) >= 0 end")
-    return j.filter(similar).select("x", "y")
-
-
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.withColumn("_d", F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))).withColumn("_th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    j = j.select("x", "y", "id", "id2", "norm", "norm2", allowed.alias("allowed")).filter(F.abs(F.length("norm") - F.length("norm2")) <= F.col("allowed"))
+    j = once(j, wa=F.split("norm", " "), wb=F.split("norm2", " ")).drop("norm", "norm2")
+    differ = lambda p, q: F.array_position(F.zip_with(p, q, lambda v, w: v.eqNullSafe(w)), F.lit(False)).cast("int")
+    j = once(j, ahead=differ("wa", "wb"), behind=differ(F.reverse("wa"), F.reverse("wb")), shorter=F.least(F.size("wa"), F.size("wb")))
+    j = once(j, head=F.expr("if(ahead = 0, shorter, ahead - 1)"))
+    j = once(j, tail=F.expr("least(shorter - head, if(behind = 0, shorter, behind - 1))"))
+    j = once(j, va=F.expr("slice(wa, head + 1, size(wa) - head - tail)"), vb=F.expr("slice(wb, head + 1, size(wb) - head - tail)"))
+    j = once(j, ta=F.array_join("va", " "), tb=F.array_join("vb", " "))
+    short = "size(va) = 0 or size(vb) = 0 or greatest(length(ta), length(tb)) <= allowed"
+    j = once(j, sa=F.expr(f"if({short}, array(), array_sort(va))"), sb=F.expr(f"if({short}, array(), array_sort(vb))"))
+    again = lambda s: F.filter(s, lambda w, i: F.get(s, i + 1).eqNullSafe(w))
+    j = once(j, ua=F.array_except(F.expr(f"if({short}, array(), va)"), again(F.col("sa"))), ub=F.array_except(F.expr(f"if({short}, array(), vb)"), again(F.col("sb"))))
+    j = once(j, anchors=F.array_intersect("ua", "ub"), ordered=F.array_intersect("ua", "ub") == F.array_intersect("ub", "ua"))
+
+    # the anchors stand in this order in both sides, so one walk marks them; no line holds a line end, so that can be the mark
+    def marked(words: str) -> str:
+        step = "named_struct('at', s.at + 1, 'out', concat(s.out, '\\n'))"
+        other = "named_struct('at', s.at, 'out', concat(s.out, ' ', w))"
+        return f"split(aggregate({words}, named_struct('at', 0, 'out', ''), (s, w) -> if(w <=> get(anchors, s.at), {step}, {other})).out, '\\n')"
+
+    between = f"aggregate(zip_with({marked('va')}, {marked('vb')}, (p, q) -> levenshtein(p, q)), 0, (s, d) -> s + d)"
+    pieces = f"aggregate(sequence(0, (size(va) - 1) div {PIECE}), 0, (s, i) -> s + levenshtein(array_join(slice(va, i * {PIECE} + 1, {PIECE}), ' '), array_join(slice(vb, i * {PIECE} + 1, {PIECE}), ' ')))"
+    tried = " ".join(f"when not ordered and levenshtein(ta, tb, allowed div {b}) >= 0 then true" for b in BOUNDS)
+    # a side of which nothing is left lacks the other's words and a blank
+    similar = f"""case when size(va) = 0 or size(vb) = 0 then length(ta) + length(tb) < allowed when greatest(length(ta), length(tb)) <= allowed then true
+        when ordered and size(anchors) > 0 and {between} <= allowed then true
+        when size(va) = size(vb) and size(va) > {PIECE} and {pieces} <= allowed then true {tried} else levenshtein(ta, tb, allowed) >= 0 end"""
+    return once(j, similar=F.expr(similar)).filter("similar").select("x", "y", F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b"))
 
 
 def line_decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines (lines with a word), n_removed, removed (line numbers from 0, ascending) for every row.
 
-    Null and empty texts have no line. Lines without a word are never removed. Rows that repeat an id and a text are one document and get the same
-    decision; null ids are the smallest. Ties cannot arise: the kept occurrence is the smallest (id, text hash, line). An empty table gives no rows.
+    Null and empty texts have no line. Lines without a word are never removed; a line of any length is compared whole. Rows that repeat an id and a text
+    are one document and get the same decision; rows that share an id only are documents each; null ids are the smallest. Ties cannot arise: the kept
+    occurrence is the smallest (id, text hash, line). An empty table gives no rows. Other columns, whatever their names, are not read.
     """
-    gone = duplicate_lines(docs, doc_id, text).groupBy("d", "th").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
-    t = F.coalesce(F.col(text), F.lit(""))
-    n = F.size(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
-    rows = _keyed(docs, doc_id, text).select(F.col(doc_id).alias("doc_id"), "_d", "_th", n.alias("n_lines"))
-    j = rows.join(gone, (F.col("_d") == F.col("d")) & (F.col("_th") == F.col("th")), "left")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    gone = duplicate_lines(docs).groupBy("d", "th").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
+    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.ltrim(x, F.lit(" \t\x0b\f\r")) != "")).cast("long")
+    d, th = document_key(F.col("doc_id"), F.col("text"))
+    j = docs.select("doc_id", d.alias("d"), th.alias("th"), n.alias("n_lines")).join(gone, ["d", "th"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return j.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def without_duplicate_lines(docs: DataFrame) -> DataFrame:
     """The documents with their repeated lines cut out, same columns; n_chars follows the text. A document that loses all its words goes: each of its
-    lines stands elsewhere. Other documents, empty and null texts stay as they are."""
-    gone = duplicate_lines(docs).groupBy("d", "th").agg(F.collect_set("line_no").alias("_gone"))
-    j = _keyed(docs, "doc_id", "text").join(gone, (F.col("_d") == F.col("d")) & (F.col("_th") == F.col("th")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    j = j.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).filter(F.col("_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    cols = [F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.length("text").cast("long")).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return j.select(*cols)
+    lines stands elsewhere. Other documents, empty and null texts stay as they are. Repeated rows, null ids, long lines and an empty table: as in
+    ``line_decisions``; further columns of any name are carried along."""
+    gone = duplicate_lines(docs).groupBy("d", "th").agg(F.collect_list("line_no").alias("gone"))
+    row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
+    d, th = document_key(F.col("doc_id"), F.col("text"))
+    j = docs.select(row, d.alias("d"), th.alias("th")).join(gone, ["d", "th"], "left")
+    left = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    j = j.withColumn("left", F.when(F.col("gone").isNotNull(), left)).filter(F.col("gone").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.coalesce("left", "row.text"), "n_chars": F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("left").cast("long")) if "n_chars" in docs.columns else None}
+    return j.select(*(new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

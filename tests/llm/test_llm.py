@@ -230,20 +230,45 @@ def test_line_dedup_recall(spark):
 
 
 def test_simhash_is_the_majority(spark):
-    texts = [" ".join(words(n, n, 5000)) for n in (1, 2, 5, 126, 127, 128, 300, 1000)]
+    """Of the line's distinct words, or of the SKETCH words with the smallest hashes."""
+    texts = [" ".join(words(n, n, 5000)) for n in (1, 2, 5, 63, 64, 65, 126, 127, 128, 300, 1000)]
     frame = docs_frame(spark, texts)
     got = {x["d"]: (x["s1"], x["s2"]) for x in lines.simhashed(lines.exploded(frame, "doc_id", "text")).collect()}
-    h = {r["w"]: (r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1) for r in frame.select(F.explode(F.split("text", " ")).alias("w")).distinct().select("w", F.xxhash64("w").alias("a"), F.xxhash64("w", F.lit("2")).alias("b")).collect()}
+    h = {r["w"]: (r["a"], r["b"]) for r in frame.select(F.explode(F.split("text", " ")).alias("w")).distinct().select("w", F.xxhash64("w").alias("a")).withColumn("b", F.xxhash64("a")).collect()}
     for i, t in enumerate(texts):
-        w = list(dict.fromkeys(t.split()))
+        w = sorted({h[x] for x in t.split()})[: lines.SKETCH]
         for k in (0, 1):
             want = 0
             for j in range(56):
-                if sum(h[x][k] >> j & 1 for x in w) > len(w) // 2:
+                if sum((x[k] & (1 << 64) - 1) >> j & 1 for x in w) > len(w) // 2:
                     want |= 1 << j
             assert got[i][k] == want
 
 
+def test_edit_similarity(spark):
+    """The bounds before the whole distance change no verdict: lines with words changed, added, removed, moved and repeated, at all similarities."""
+    r = random.Random(9)
+    pairs = []
+    for _ in range(400):
+        vocab = [f"v{i}" * r.randrange(1, 4) for i in range(r.choice([4, 30, 400]))]
+        a = [r.choice(vocab) for _ in range(r.randrange(1, 60))]
+        b = list(a)
+        for _ in range(r.randrange(0, 1 + len(a) // 3)):
+            i = r.randrange(len(b)) if b else 0
+            b[i : i + r.choice([0, 1, 1, 2])] = r.choice([[], [r.choice(vocab)], [f"n{r.randrange(99)}é"], [f"n{r.randrange(99)}", "q"]])
+        x, y = " ".join(a), " ".join(b)
+        if x and y and x != y:
+            pairs.append((x, y))
+    rows = [(2 * i + k, 0, k, i, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    f = spark.createDataFrame(rows, "l1 long, d long, line_no int, i long, norm string")
+    texts = f.select(F.struct("l1", F.col("l1").alias("s1"), F.col("l1").alias("s2")).alias("x"), F.struct(F.col("i").alias("d"), F.lit(0).cast("long").alias("th"), "line_no").alias("id"), "norm")
+    both = texts.select(F.col("id.d").alias("i"), "id", "x")
+    asked = both.filter("id.line_no = 0").select("i", "x").join(both.filter("id.line_no = 1").select("i", F.col("x").alias("y")), "i").select("x", "y")
+    got = {r["b"]["d"] for r in lines.verified(asked, texts).collect()}
+    want = {i for i, (x, y) in enumerate(pairs) if simple_similarity(x, y) >= 0.8 - 1e-12}
+    assert got == want and 50 < len(want) < len(pairs) - 50
+
+
 def test_line_dedup_odd(spark):
     got = lines.line_decisions(odd(spark)).collect()
     assert len(got) == len(ODD) and sum(r["n_lines"] for r in got) == 9
