@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,15 +21,14 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a temporary one that is set as such."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, a session in a single process (tests) gets a temporary folder, set as such; on a
+    cluster, where executors would not see each other's files, this raises."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
-    got = spark.sparkContext.getCheckpointDir()
-    if got:
-        return got.rstrip("/")
-    base = "file://" + tempfile.mkdtemp(prefix="tersloom-")
-    spark.sparkContext.setCheckpointDir(base)
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tersloom-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
@@ -38,20 +37,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a Parquet table to the shared folder and read it again."""
+    """Cut the lineage: write a Parquet table to the shared folder and read it again. The shuffle files of the write go as soon as it ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    freed(spark)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tersloom_path = path  # type: ignore[attr-defined]
     return out
 
 
-def freed(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more; it learns of them by garbage collection only."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session's setting holds inside the block only."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def dropped(df: DataFrame) -> None:

@@ -9,6 +9,7 @@ same way from the first 4, 5 and 6 bytes, so inflected forms that no labelled do
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tersloom.llm.common import Words, mix, small_batches, table, texts_of
 
-#: Labelled documents that the model is fitted on, at most; they are chosen by hash and go to the driver.
+#: Labelled documents that the model is fitted on, at most; they are chosen by hash and go to one task.
 SAMPLE = 2000
 LONGEST_CHAIN = 256
 THRESHOLD = 0.7
@@ -233,14 +234,25 @@ def spans(w: Words, m: np.ndarray, i: int) -> list[dict]:
     return [{"start": points(w.start[g[0]]), "end": points(w.end[g[-1]])} for g in np.split(hit, cut)]
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> tuple[list[bytes], np.ndarray]:
-    """At most ``most`` labelled documents with crc32(doc_id) mod 3 other than 1. The ids come from the labels alone, so the broadcast is bounded."""
+def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> DataFrame:
+    """doc_id, text, label of at most ``most`` labelled documents with crc32(doc_id) mod 3 other than 1, chosen by hash of doc_id. The ids come from the
+    labels alone, so the broadcast is bounded. Of rows that share a doc_id the smallest text counts, of their labels the largest; null ids and labels are left out."""
     ids = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     ids = ids.filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    # a partition at a time, so that the driver holds the texts once, as bytes
-    got = sorted((r["doc_id"], (r["text"] or "").encode(), int(r["label"])) for r in rows.toLocalIterator())
-    return [t for _, t, _ in got], np.array([y for _, _, y in got], np.int64)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("label").cast("int").alias("label"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> Model:
+    """The model of a sample. One task gets the sample's rows, ``most`` at most, and sends the fitted model; the driver never holds a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for b in batches for row in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist(), strict=True))
+        model = fit([x for _, x, _ in rows], np.array([y for _, _, y in rows], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    got = sample(docs, labels, label, most).repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(got["model"]) if got else fit([], np.zeros(0, np.int64))
 
 
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -283,4 +295,4 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return scored(docs, fit(*sample(docs, table(spark, sf_dir, "labels"))))
+    return scored(docs, fitted(docs, table(spark, sf_dir, "labels")))

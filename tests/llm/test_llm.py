@@ -319,6 +319,13 @@ def test_toxicity_chain_and_spans(spark):
     assert [r["predicted"] for r in got] == [1, 0, 0, 0] and got[1]["score"] == got[3]["score"]
     assert "now é vile thing"[got[0]["spans"][0]["start"] : got[0]["spans"][0]["end"]] == "vile"
     assert len(toxicity.scored(odd(spark), model).collect()) == len(ODD)
+    # rows that share an id and their labels: the same model, however the rows are dealt
+    docs = docs_frame(spark, texts + [texts[3] + " twice", None], ids=[*range(160), 3, 7])
+    labels = spark.createDataFrame([(i, int(i >= 120)) for i in range(160)] + [(5, 0), (None, 1), (9, None), (999, 1)], "doc_id long, toxic int")
+    one, two = (toxicity.fitted(d, labels) for d in (docs.coalesce(1), docs.repartition(5)))
+    assert all(np.array_equal(x, y) for x, y in zip((*one.vocab, *one.theta, one.doc), (*two.vocab, *two.theta, two.doc), strict=True))
+    assert toxicity.scored(docs_frame(spark, ["now vile thing", "nice thing"]), one).filter("predicted = 1").count() == 1
+    assert toxicity.scored(odd(spark), toxicity.fitted(docs.limit(0), labels)).filter("score is null").count() == 0
     empty = toxicity.fit([], np.zeros(0, np.int64))
     assert toxicity.scored(odd(spark), empty).filter("score is null").count() == 0
 
