@@ -9,24 +9,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tersloom.llm import bpe, jaccard, lines, mixing, toxicity
-from tersloom.llm.common import table, written
+from tersloom.llm.common import dropped, table, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fitted on a bounded sample of the labelled documents among ``docs``; documents that score as toxic go."""
-    model = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels")))
+    """Fitted on a bounded sample of the labelled documents among ``docs``; documents that score as toxic go. Null and empty texts hold no token and
+    stay; each of repeated rows is scored; long texts are scored whole; no documents or labels: everything stays; further columns are carried along."""
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, model)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each line stays at its first occurrence only; documents that lose all their words go. Null, empty and wordless texts stay as they are; rows that
+    repeat an id and a text are one document and keep the same lines; ties go to the smallest (id, text hash, line); an empty table gives no rows."""
     return lines.without_duplicate_lines(docs)
 
 
 def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: the smallest doc_id, of rows that share it the smallest text. Texts without a word and rows with
+    a null id stay; an empty table gives no rows; further columns are carried along."""
     return jaccard.one_of_each_group(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: rows as often as their source's target takes them. Null and empty texts have no word to take and go; null sources are one source; equal
+    ids are ordered by size; an empty table gives no rows; further columns are carried along."""
     return mixing.mixture(docs)
 
 
@@ -49,8 +56,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        out = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped(docs)  # the table of the stage before, if there is one
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)
