@@ -164,17 +164,19 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1
 # --------------------------------------------------------------------------- connected components
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): component is the smallest node reachable. Alternating large-star and small-star rounds.
 
     Every round is two aggregations by key with partial results before the shuffle; a hub's neighbours are never gathered into one row.
     Each round's edges are written to the shared folder, so that neither lineage nor plans grow.
-    Nodes without an edge are not returned. Ends when a round changes nothing.
+    Nodes without an edge are not returned, nor are edges from or to null. Ends when a round changes nothing; every round that changes something moves an
+    edge's end to a smaller node, so it does end, and the number of rounds grows with the logarithm of the longest path.
     """
     spark = edges.sparkSession
+    edges = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "cc")
     before = None
-    for _ in range(most):
+    while True:
         # large star: neighbours above u go to the smallest in u's neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -190,7 +192,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return out.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = out.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._tersloom_path = e._tersloom_path  # type: ignore[attr-defined]
+    return out

@@ -141,6 +141,23 @@ def fine_counts(keys: np.ndarray) -> bytes:
     return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else b""
 
 
+#: Coarse fragments whose key counts ride on every row of a block, a byte each: 255 stands for 255 or more.
+COARSE = 16
+
+
+def coarse_counts(keys: np.ndarray) -> list[int]:
+    """The counts in two 64-bit integers."""
+    n = np.bincount(((keys & _U((1 << 56) - 1)) >> _U(52)).astype(np.int64), minlength=COARSE)
+    return np.minimum(n, 255).astype(np.uint8).view(np.int64).tolist()
+
+
+def coarse_bound(x: str, y: str) -> str:
+    """SQL: upper bound of the overlap of two sets by their coarse counts q1 and q2; where both counts of a fragment are full it says nothing."""
+    byte = lambda r, i: f"(shiftrightunsigned({r}q{1 + i // 8}, {8 * (i % 8)}) & 255L)"
+    least = " + ".join(f"if({byte(x, i)} = 255 and {byte(y, i)} = 255, {x}n, least({byte(x, i)}, {byte(y, i)}))" for i in range(COARSE))
+    return f"({least})"
+
+
 def most_overlap(a: bytes, b: bytes) -> int | None:
     """Upper bound of the overlap; None: unknown."""
     if not a or not b:
@@ -156,85 +173,112 @@ def most_overlap(a: bytes, b: bytes) -> int | None:
 def joined(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, class_id for every row: the smallest doc_id reachable by links of a Jaccard similarity of ``percent`` or more.
 
-    1. Equal sets are one class (128-bit fingerprint); all later work is on classes, so copies never meet in pairs.
+    1. Equal sets are one class (128-bit fingerprint); all later work is on classes, named by 64 bits of it, so copies never meet in pairs, and rows that
+       share a doc_id but not a text are classes each.
     2. Classes meet in blocks by the grams of their prefixes. In each block every member is compared with two pivots: rows by member, not by pair.
-       Counts in fine fragments rule out most pairs (an upper bound, so none that links). For the others the sets are fetched: partial overlaps
-       are counted by fragment and summed per pair.
+       Counts in coarse fragments, which ride on the rows, and in fine ones rule out most pairs (upper bounds, so none that links). For the others the
+       sets are fetched: partial overlaps are counted by fragment and summed per pair.
     3. What pivots link is one component. Only blocks whose members are still apart go on: members outside a block's largest component meet all
        others of another component in tasks of at most BLOCK_FEW by BLOCK_ALL members by fine counts. A task whose pairs in doubt are few beside its
        members sends those pairs, which are compared once, as above; a denser one sends its members, whose partial overlaps are then counted inside
        one task. No link is lost and no partner capped: two members of one block are compared, or both are in one component.
     Words are lower-cased in A-Z only. Fewer words than n: one shingle. No words, null or empty text: n_shingles 0, component is the own doc_id.
-    Repeated rows are copies; a null doc_id joins no links and has a null component; an empty table gives no rows; other columns are ignored.
+    Repeated rows are copies; rows that share a doc_id but not a text are documents each, with their own links; a null doc_id joins no links and has a null
+    component; an empty table gives no rows; texts of any length are taken whole; other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = spark.sparkContext.broadcast(learned_order(d, n))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for b in small_batches(batches, "text"):
-            size, prints, heads, fine = [], [], [], []
-            for k in order.value.keys(Words(texts_of(b.column(1))), n):
+            size, prints, heads, fine, q1, q2 = [], [], [], [], [], []
+            for i, k in zip(b.column(0).to_pylist(), order.value.keys(Words(texts_of(b.column(1))), n), strict=True):
                 size.append(len(k))
                 prints.append(hashlib.blake2b(k.tobytes(), digest_size=16).digest() if len(k) else None)
-                heads.append(k[: prefix_length(len(k), percent)].view(np.int64) if len(k) else None)
-                fine.append(fine_counts(k))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(fine, pa.binary())], names=["doc_id", "n", "fp", "head", "fine"])
-
-    sets = written(d.mapInArrow(prefixes, "doc_id long, n long, fp binary, head array<long>, fine binary"), "sets")
-    classes = written(sets.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    # one row of each class carries the prefix on: a filter of fixed size leaves out almost all copies, the exact join the rest
-    first = passing(sets.filter("fp is not null and doc_id is not null"), "doc_id", bloom_filter(classes, "rep")).filter("maybe_listed")
-    member = first.select(F.col("doc_id").alias("rep"), F.explode("head").alias("key"))
-    shared = member.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    member = member.join(shared, "key").join(classes.select("rep").distinct(), "rep", "left_semi")
-    sizes = sets.filter("fp is not null and doc_id is not null").join(classes.withColumnRenamed("rep", "doc_id"), ["fp", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "fine")
-    fine = written(sizes.dropDuplicates(["rep"]), "fine")
-    member = written(member.join(fine.select("rep", "n"), "rep").select("key", "rep", "n", "m"), "members")
+                # rows that a task meets again bring no prefix again
+                new = len(k) and i is not None and (i, prints[-1]) not in seen
+                heads.append(k[: prefix_length(len(k), percent)].view(np.int64) if new else None)
+                fine.append(fine_counts(k) if new else None)
+                x, y = coarse_counts(k)
+                q1.append(x)
+                q2.append(y)
+                if new:
+                    seen.add((i, prints[-1]))
+            if len(seen) > 50_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(fine, pa.binary()), pa.array(q1, pa.int64()), pa.array(q2, pa.int64())], names=["doc_id", "n", "fp", "head", "fine", "q1", "q2"])
+
+    sets = written(d.mapInArrow(prefixes, "doc_id long, n long, fp binary, head array<long>, fine binary, q1 long, q2 long"), "sets")
+    classes = written(sets.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", "first", F.xxhash64("fp").alias("rep")), "classes")
+    # one row of each class carries the prefix on; a copy that passes the filter of fixed size by chance is the same node, so no exact join is needed
+    own = sets.filter("head is not null").withColumn("row", F.xxhash64("doc_id", "fp"))
+    own = passing(own, "row", bloom_filter(classes.select(F.xxhash64("first", "fp").alias("row")), "row")).filter("maybe_listed").withColumn("rep", F.xxhash64("fp"))
+    every = own.select("rep", "n", "q1", "q2", F.explode("head").alias("key"))
+    shared = written(every.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
+    member = passing(every, "key", bloom_filter(shared, "key")).filter("maybe_listed").drop("maybe_listed").join(shared, "key")
+    member = written(member.select("key", "rep", "n", "q1", "q2", "m"), "members")
+    fine = written(own.select("rep", "fine").dropDuplicates(["rep"]), "fine")
+    dropped(shared)
     slim = written(sets.select("doc_id", "n", "fp"), "slim")
     dropped(sets)
     sets = slim
-    fine = fine.select("rep", "fine")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in small_batches(batches, "text"):
-            rep, frag, packed = [], [], []
-            for r, k in zip(b.column(0).to_pylist(), order.value.keys(Words(texts_of(b.column(1))), n), strict=True):
+            prints, frag, packed = [], [], []
+            for k in order.value.keys(Words(texts_of(b.column(0))), n):
+                fp = hashlib.blake2b(k.tobytes(), digest_size=16).digest()
+                if fp in seen:
+                    continue
+                seen.add(fp)
                 f = fragment_of(k)
                 at = np.argsort(f, kind="stable")
                 k, f = k[at], f[at]
                 cut = np.searchsorted(f, np.arange(FRAGMENTS + 1))
                 for j in range(FRAGMENTS):
                     if cut[j + 1] > cut[j]:
-                        rep.append(r)
+                        prints.append(fp)
                         frag.append(j)
                         packed.append(k[cut[j] : cut[j + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(frag, pa.int32()), pa.array(packed, pa.binary())], names=["rep", "frag", "seg"])
+            if len(seen) > 50_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(frag, pa.int32()), pa.array(packed, pa.binary())], names=["fp", "frag", "seg"])
 
     def segments_of(ids: DataFrame, name: str) -> DataFrame:
         """The sets of some classes, by fragment; texts that a filter of fixed size rules out never move."""
-        ids = written(ids, "ids")
-        maybe = passing(d.filter("doc_id is not null"), "doc_id", bloom_filter(ids.withColumnRenamed("rep", "doc_id"), "doc_id")).filter("maybe_listed").select("doc_id", "text")
+        ids = written(classes.join(ids, "rep", "left_semi").select("first"), "ids")
+        maybe = passing(d.filter("doc_id is not null"), "doc_id", bloom_filter(ids, "first")).filter("maybe_listed").select("text")
         # a text that passes by chance gives sets that no pair asks for; moving all texts for an exact join would cost more
-        return written(maybe.mapInArrow(segments, "rep long, frag int, seg binary"), name)
+        out = written(maybe.mapInArrow(segments, "fp binary, frag int, seg binary").select(F.xxhash64("fp").alias("rep"), "frag", "seg"), name)
+        dropped(ids)
+        return out
 
     pairs = written(not_ruled_out(star_pairs(member, percent), fine, percent), "pairs")
     segs = segments_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "segments")
     links = written(overlaps(pairs, segs, percent), "links")
     dropped(segs)
-    doubts = written(in_doubt(apart(member, connected_components(links)), fine, percent), "doubts")
+    component = connected_components(links)
+    doubts = written(in_doubt(apart(member, component), fine, percent), "doubts")
+    for x in (component, member, fine):
+        dropped(x)
     # blocks share most of their pairs: each is compared once
     again = doubts.filter("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"), F.col("n").alias("na"), F.col("other_n").alias("nb")).distinct().join(pairs, ["a", "b"], "left_anti")
-    again = written(again.select("a", "b", "na", "nb"), "pairs")
+    again = written(again.select("a", "b", "na", "nb"), "again")
     dense = doubts.filter("other is null").select("key", "f", "g", "asks", "rep", "n", "comp")
     segs = segments_of(again.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(dense.select("rep")).distinct(), "segments")
-    more = written(overlaps(again, segs, percent).unionByName(exhausted(dense, segs, percent)), "links")
-    dropped(segs)
+    more = written(overlaps(again, segs, percent).unionByName(exhausted(dense, segs, percent)), "more")
     component = connected_components(links.unionByName(more))
-    named = classes.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
+    for x in (pairs, links, doubts, again, segs, more):
+        dropped(x)
+    linked = written(classes.join(component.select(F.col("node").alias("rep"), "component"), "rep").select("fp", "first", "component"), "linked")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    named = classes.select("fp", "first").join(linked.join(least, "component").select("fp", "least"), "fp", "left").select("fp", "first", F.coalesce("least", "first").alias("component"))
     out = sets.select("doc_id", "n", "fp").join(named, "fp", "left")
-    linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class_id"))
+    some = F.col("doc_id").isNotNull()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.coalesce("component", "doc_id")).alias("component_id"), F.when(some, F.coalesce("first", "doc_id")).alias("class_id"))
 
 
 def _size_ok(a: str, b: str, percent: int) -> str:
@@ -242,12 +286,14 @@ def _size_ok(a: str, b: str, percent: int) -> str:
 
 
 def star_pairs(blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb): each member with its block's two pivots, those of the smallest and the largest hash."""
-    row = F.struct(F.xxhash64("key", "rep").alias("h"), "rep", "n")
+    """(a, b, na, nb): each member with its block's two pivots, those of the smallest and the largest hash, unless sizes or coarse counts rule the pair out."""
+    row = F.struct(F.xxhash64("key", "rep").alias("h"), "rep", "n", "q1", "q2")
     ends = blocks.groupBy("key").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
-    j = blocks.join(ends, "key")
-    pairs = [j.filter(f"rep <> {p}.rep and {_size_ok('n', p + '.n', percent)}").select(F.greatest("rep", f"{p}.rep").alias("a"), F.least("rep", f"{p}.rep").alias("b"), F.when(F.col("rep") > F.col(f"{p}.rep"), F.col("n")).otherwise(F.col(f"{p}.n")).alias("na"), F.when(F.col("rep") > F.col(f"{p}.rep"), F.col(f"{p}.n")).otherwise(F.col("n")).alias("nb")) for p in ("lo", "hi")]
-    return pairs[0].unionByName(pairs[1]).distinct()
+    j = blocks.join(ends, "key").select(F.struct("rep", "n", "q1", "q2").alias("me"), F.explode(F.array("lo", "hi")).alias("it"))
+    j = j.filter(f"me.rep <> it.rep and {_size_ok('me.n', 'it.n', percent)}")
+    j = j.filter(f"{100 + percent} * {coarse_bound('me.', 'it.')} >= {percent} * (me.n + it.n)")
+    first = F.col("me.rep") > F.col("it.rep")
+    return j.select(F.greatest("me.rep", "it.rep").alias("a"), F.least("me.rep", "it.rep").alias("b"), F.when(first, F.col("me.n")).otherwise(F.col("it.n")).alias("na"), F.when(first, F.col("it.n")).otherwise(F.col("me.n")).alias("nb")).distinct()
 
 
 def not_ruled_out(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
@@ -275,7 +321,7 @@ def overlaps(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
     sb = segs.select(F.col("rep").alias("b"), "frag", F.col("seg").alias("seg_b"))
     both = pairs.join(sa, "a").join(sb, ["b", "frag"]).select("a", "b", "na", "nb", "frag", "seg_a", "seg_b")
     parts = both.mapInArrow(partial, "a long, b long, na long, nb long, frag int, part long")
-    # the largest of a fragment: rows that share a doc_id give a fragment more than once
+    # the largest of a fragment: tasks that meet the same set give its fragments more than once
     total = parts.groupBy("a", "b", "na", "nb", "frag").agg(F.max("part").alias("part")).groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
     return total.filter(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
 
@@ -402,9 +448,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with one row of each component: the smallest doc_id, and of rows that share it one. Texts without a word, and null ids, stay."""
-    got = joined(docs, n, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_id"), "n_shingles").distinct()
-    with_words = docs.filter(F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    others = docs.filter(~(F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))
-    kept = with_words.join(got.filter("n_shingles > 0"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(others)
+    """The documents with one row of each component: the smallest doc_id, and of rows that share it that of the smallest text. Texts without a word, and
+    null ids, stay; an empty table gives no rows; further columns are carried along."""
+    got = joined(docs, n, percent).filter("doc_id = component_id and n_shingles > 0").select(F.col("doc_id").alias("_id")).distinct()
+    counts = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = docs.filter(counts).join(got, F.col("doc_id") == F.col("_id"), "left_semi")
+    kept = kept.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*docs.columns), F.col("text")).alias("_row")).select("_row.*")
+    return kept.unionByName(docs.filter(~counts))

@@ -146,6 +146,17 @@ def test_jaccard_short_copies(spark, n, percent):
             assert len({got[i]["class_id"] for i, t in enumerate(texts) if t == s}) == 1
 
 
+def test_jaccard_repeated_ids(spark):
+    """Rows that share a doc_id but not a text are documents each, however they are dealt; equal rows are copies."""
+    x, y = words(60, 1), words(60, 2)
+    near = lambda w: " ".join([*w[:-1], "end"])
+    texts, ids = [" ".join(x), " ".join(y), near(x), near(y), " ".join(x), " ".join(words(50, 5)), " ".join(words(50, 5)), near(y) + " "], [5, 5, 9, 8, 5, 4, 4, 3]
+    want = sorted([(5, 5), (5, 3), (9, 5), (8, 3), (5, 5), (4, 4), (4, 4), (3, 3)])
+    for parts in (1, 3, 5):
+        got = jaccard.joined(docs_frame(spark, texts, ids=ids).repartition(parts)).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == want
+
+
 def simple_similarity(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
