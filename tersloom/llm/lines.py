@@ -106,74 +106,85 @@ def bits_between(x: str, y: str) -> Column:
     return F.expr(f"bit_count({x}.s1 ^ {y}.s1) + bit_count({x}.s2 ^ {y}.s2)")
 
 
-def against_all(asking: DataFrame, members: DataFrame) -> DataFrame:
-    """(x, y), x > y: each asking row (key, n, x) with each member (key, n, x) of its block that differs in few bits. A block of n members is split into
-    n div SPLIT + 1 parts by the hash of its members, and each asking row goes to all of them: no task holds a hot block."""
-    parts = F.expr(f"cast(n div {SPLIT} as int)")
-    left = asking.select("key", "x", F.explode(F.sequence(F.lit(0), parts)).alias("part"))
-    right = members.select("key", F.col("x").alias("y"), F.pmod(F.xxhash64("x"), parts + 1).cast("int").alias("part"))
-    pairs = left.join(right, ["key", "part"]).filter((F.col("x") != F.col("y")) & (bits_between("x", "y") <= MOST_BITS))
-    return pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-
-
-def candidates(distinct: DataFrame, bands: list[int], name: str) -> tuple[DataFrame, DataFrame]:
-    """Two tables: (x, y, held), pairs of the bands' blocks that differ in few bits, and (key, n, x), the members of all blocks of three or more; x = (l1, s1, s2)
-    tells a line, 176 bits of its words. Every member is compared with its block's smallest, the pivot (held); members far from it are compared with all
-    others of the block here, those that turn out to be unlike it in ``duplicate_lines``."""
+def stars(distinct: DataFrame, bands: list[int], name: str) -> tuple[DataFrame, DataFrame]:
+    """Two tables: (x, y, bits), each member of a block with its pivot if they differ in few bits, and (key, n, x), the members of all blocks of three or
+    more; x = (l1, s1, s2) tells a line, 176 bits of its words. A block's pivot is its smallest by a hash of block and line, so the blocks of one group of
+    copies have different pivots: a line that one pivot is too far from is compared with others."""
     every = blocks(distinct, bands)
     crowded = written(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "crowded")
     # a filter of fixed size keeps rows of keys that are alone from moving; the exact join leaves out the rest
     member = passing(every, "key", bloom_filter(crowded, "key")).filter("maybe_listed").select("key", F.struct("l1", "s1", "s2").alias("x")).join(crowded, "key")
-    member = written(member.select("key", "n", "x"), "members")
+    member = written(member.select("key", "n", "x"), f"members-{name}")
     dropped(crowded)
-    star = member.join(member.groupBy("key").agg(F.min("x").alias("p")), "key").filter("x <> p").withColumn("bits", bits_between("x", "p"))
-    star = written(star, "star")
-    near = star.filter(F.col("bits") <= MOST_BITS).select("x", F.col("p").alias("y"), F.lit(True).alias("held"))
-    far = against_all(star.filter((F.col("n") > 2) & (F.col("bits") > MOST_BITS)), star.filter("n > 2"))
-    pairs = written(near.unionByName(far.withColumn("held", F.lit(False))).groupBy("x", "y").agg(F.max("held").alias("held")), name)
-    dropped(star)
-    large = written(member.filter("n > 2"), f"large-{name}")
-    dropped(member)
-    return pairs, large
+    pivot = member.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "x").alias("h"), "x")).alias("p")).select("key", F.col("p.x").alias("p"))
+    near = member.join(pivot, "key").filter("x <> p").select("x", F.col("p").alias("y"), bits_between("x", "p").alias("bits")).filter(F.col("bits") <= MOST_BITS)
+    return written(near.groupBy("x", "y").agg(F.min("bits").alias("bits")), f"stars-{name}"), member
 
 
 def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """d, th, line_no of every line that repeats an earlier occurrence exactly (normalised) or nearly.
 
     1. Equal normalised lines fall together by hash with map-side partial results; a line in a third of all documents is one row then.
-    2. Distinct lines meet by blocks of the SimHash and by minima of their words. In each block one pivot is compared with every member; members that
-       are not like the pivot are then compared with all other members, so no pair that shares a block and differs in few bits is missed and a hot
-       block of alike lines stays linear. Pairs in which most words differ (a typo in every word) share no minima and meet by chance only.
-    3. Pairs that differ in few bits are verified by edit similarity on their texts, which are fetched through a broadcast Bloom filter of
-       fixed size and an exact join. Links are between the lines' first occurrences, so a component's smallest node is the occurrence to keep;
-       lines without a link take part in no join.
+    2. Distinct lines meet by blocks of the SimHash and by minima of their words. In each block every member is compared with a pivot. Pairs that differ in
+       few bits are verified by edit similarity on their texts, which are fetched through a broadcast Bloom filter of fixed size and an exact join: first
+       each line's closest pivot, then the other pivots that this leaves in another component.
+    3. Members outside the largest component of a block meet all members of other components. Pairs within a component need no verdict, so a hot block of
+       alike lines stays linear, and no pair that shares a block, differs in few bits and would join two components is missed. Pairs in which most words
+       differ (a typo in every word) share no minima and meet by chance only.
+    4. Links are between the lines' first occurrences, so a component's smallest node is the occurrence to keep; lines without a link take part in no join.
     """
     hashed = written(simhashed(exploded(docs, doc_id, text)), "lines")
     first = F.min(F.struct("d", "th", "line_no")).alias("id")
     distinct = written(hashed.groupBy("l1", "l2").agg(F.count("*").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), *(F.min(f"k{x}").alias(f"k{x}") for x in range(PLANE)), first), "distinct")
-    found = [candidates(distinct, bands, f"candidates-{i}") for i, bands in enumerate(PASSES)]
-    near = written(reduce(DataFrame.unionByName, (p for p, _ in found)).groupBy("x", "y").agg(F.max("held").alias("held")), "near")
+    found = [stars(distinct, bands, str(i)) for i, bands in enumerate(PASSES)]
+    near = written(reduce(DataFrame.unionByName, (s for s, _ in found)).groupBy("x", "y").agg(F.min("bits").alias("bits")), "near")
     texts = texts_of(near, distinct, docs, doc_id, text)
-    checked = written(verified(near, texts), "checked")
-    # members that their pivot does not hold, against the rest of the blocks that they share with it
-    failed = near.filter("held").join(checked, ["x", "y"], "left_anti").select("x").distinct()
-    large = reduce(DataFrame.unionByName, (m for _, m in found))
-    more = written(against_all(large.join(failed, "x"), large).join(near, ["x", "y"], "left_anti"), "more")
-    links = checked.select("a", "b")
+    closest = near.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+    links = written(verified(closest, texts), "links")
+    open_pairs = written(between(near.select("x", "y").join(closest, ["x", "y"], "left_anti"), connected_components(links, "x", "y")), "open")
+    links = written(links.unionByName(verified(open_pairs, texts)), "links")
+    apart = written(between_blocks(reduce(DataFrame.unionByName, (m.filter("n > 2") for _, m in found)), connected_components(links, "x", "y")), "apart")
+    more = written(apart.join(near.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")), ["x", "y"], "left_anti"), "more")
+    pairs = links.select("a", "b")
     if not more.isEmpty():
         dropped(texts)
         texts = texts_of(more, distinct, docs, doc_id, text)
-        links = links.unionByName(verified(more, texts).select("a", "b"))
-    groups = connected_components(links)
+        pairs = pairs.unionByName(verified(more, texts).select("a", "b"))
+    groups = connected_components(pairs)
     nearly = groups.filter("node <> component").select("node.*")
     copied = distinct.filter("n > 1").select("l1", "l2", "id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     exactly = hashed.withColumn("salt", F.pmod(F.xxhash64("d", "line_no"), F.lit(SALTS)).cast("int")).join(copied, ["l1", "l2", "salt"]).filter(F.struct("d", "th", "line_no") != F.col("id")).select("d", "th", "line_no")
     out = written(exactly.unionByName(nearly).distinct(), "dups")
-    for t in (hashed, near, checked, more, distinct, texts, groups, *(t for pair in found for t in pair)):
+    for t in (hashed, near, links, open_pairs, apart, more, distinct, texts, groups, *(t for pair in found for t in pair)):
         dropped(t)
     return out
 
 
+def named(rows: DataFrame, column: str, components: DataFrame, out: str) -> DataFrame:
+    """Adds the component of a line; a line without a link is its own."""
+    return rows.join(components.select(F.col("node").alias(column), F.col("component").alias(out)), column, "left").withColumn(out, F.coalesce(out, column))
+
+
+def between(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """The pairs (x, y) of different components."""
+    return named(named(pairs, "x", components, "cx"), "y", components, "cy").filter("cx <> cy").select("x", "y")
+
+
+def between_blocks(members: DataFrame, components: DataFrame) -> DataFrame:
+    """(x, y), x > y: the members outside their block's largest component with all members of the block in other components that differ in few bits.
+    A block is split by the hash of its members into a part for each SPLIT of them, and the asking members go to all parts: no task holds a hot block."""
+    m = written(named(members, "x", components, "c"), "named")
+    of = m.groupBy("key", "c").agg(F.count("*").alias("k"), F.max("n").alias("n")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.max("n").alias("n"))
+    of = of.filter(F.col("top.k") < F.col("n")).select("key", F.col("top.c").alias("main"))
+    m = m.join(of, "key")
+    parts = F.expr(f"cast(n div {SPLIT} as int)")
+    asking = m.filter("c <> main").select("key", "x", "c", "main", F.explode(F.sequence(F.lit(0), parts)).alias("part"))
+    others = m.select("key", F.col("x").alias("y"), F.col("c").alias("cy"), F.pmod(F.xxhash64("x"), parts + 1).cast("int").alias("part"))
+    # of two asking members the larger asks
+    pairs = asking.join(others, ["key", "part"]).filter((F.col("c") != F.col("cy")) & (bits_between("x", "y") <= MOST_BITS) & ((F.col("cy") == F.col("main")) | (F.col("x") > F.col("y"))))
+    return pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+
+
 def texts_of(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(x, id, norm): the first occurrence and the normal form of each distinct line in ``pairs``."""
     asked = pairs.select(F.explode(F.array("x", "y")).alias("x")).distinct()
@@ -228,7 +239,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     between = f"aggregate(zip_with({marked('va')}, {marked('vb')}, (p, q) -> levenshtein(p, q)), 0, (s, d) -> s + d)"
     pieces = f"aggregate(sequence(0, (size(va) - 1) div {PIECE}), 0, (s, i) -> s + levenshtein(array_join(slice(va, i * {PIECE} + 1, {PIECE}), ' '), array_join(slice(vb, i * {PIECE} + 1, {PIECE}), ' ')))"
-    tried = " ".join(f"when not ordered and levenshtein(ta, tb, allowed div {b}) >= 0 then true" for b in BOUNDS)
+    tried = " ".join(f"when not (ordered and size(anchors) > 0) and levenshtein(ta, tb, allowed div {b}) >= 0 then true" for b in BOUNDS)
     # a side of which nothing is left lacks the other's words and a blank
     similar = f"""case when size(va) = 0 or size(vb) = 0 then length(ta) + length(tb) < allowed when greatest(length(ta), length(tb)) <= allowed then true
         when ordered and size(anchors) > 0 and {between} <= allowed then true
