@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,16 +156,29 @@ def fit(x: np.ndarray, total: int, k: int = 10) -> Index:
     return index
 
 
-def _matrix(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Usable rows and their vectors in double precision: not null, not zero, without null or non-finite components, of the index' dimension."""
-    rows, vectors = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if v and None not in v:
-            a = np.array(v, np.float64)
-            if (dim is None or len(a) == dim) and np.isfinite(a).all() and a.any():
-                rows.append(i)
-                vectors.append(a)
-    return np.array(rows, np.int64), (np.stack(vectors) if vectors else np.zeros((0, dim or 1)))
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    at, flat = np.asarray(column.offsets), np.asarray(pc.fill_null(column.values.cast(pa.float64()), float("nan")))
+    rows = np.flatnonzero(np.asarray(column.is_valid()) & (np.diff(at) == dim))
+    x = flat[at[rows][:, None] + np.arange(dim)] if len(rows) else np.zeros((0, dim))
+    good = np.isfinite(x).all(1) & x.any(1)
+    return rows[good], x[good]
+
+
+def best_of(ids: np.ndarray, d: np.ndarray, k: int) -> list[tuple[int, float]]:
+    """The ``k`` nearest distinct ids with their smallest distances, ties to the smaller id. Only a front of the rows is sorted, a larger one if it holds too few ids."""
+    m = k * REPLICAS
+    while True:
+        front = np.arange(len(d)) if m >= len(d) else np.flatnonzero(d <= np.partition(d, m - 1)[m - 1])
+        front = front[np.lexsort((ids[front], d[front]))]
+        best: dict[int, float] = {}
+        for i, x in zip(ids[front].tolist(), d[front].tolist(), strict=True):
+            best.setdefault(i, x)
+        if len(best) >= k or m >= len(d):
+            return list(best.items())[:k]
+        m *= 8
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -173,7 +187,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "ve
     Score: Euclidean distance in double precision on the original vectors. Lists meet their queries in a co-group by task, which gives each
     query's ``k`` best of all its lists there, so rows between the stages are at most k for each query and TASK_ROWS rows; copies of a vector are split by hash.
     Vectors that are null, empty, zero, of another dimension, or hold null or non-finite components take no part; a null vec_id neither. Repeated
-    vec_ids give their smallest distance; a query's own id is never its candidate. Fewer candidates than k: all of them. An empty table gives no rows.
+    vec_ids give their smallest distance and count once, however many there are; a query's own id is never its candidate. Fewer candidates than k: all of
+    them. Ties go to the smaller vec_id. An empty table gives no rows. Vectors of any length are used whole; other columns, whatever their names, are not read.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("x")).filter("vec_id is not null and x is not null")
@@ -195,7 +210,9 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "ve
                     yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(first), pa.array(ids[r], pa.int64()), pa.array([x[j].tobytes() for j in r.tolist()], pa.binary())], names=["list", "first", "vec_id", "v"])
 
     postings = written(v.mapInArrow(post, "list int, first boolean, vec_id long, v binary"), "postings")
-    sizes = postings.groupBy("list").agg(F.count("*").alias("n"), F.count_if("first").alias("own")).collect()  # one row a list
+    # one row a list; a vec_id that is given more than once counts once, for a query needs k of them
+    owned = postings.filter("first").select("list", "vec_id").distinct().groupBy("list").agg(F.count("*").alias("own"))
+    sizes = postings.groupBy("list").agg(F.count("*").alias("n")).join(owned, "list", "left").select("list", "n", F.coalesce("own", F.lit(0)).alias("own")).collect()
     index.sizes = np.zeros(len(index.centroids), np.int64)
     rows_of = np.zeros(len(index.centroids), np.int64)
     for r in sizes:
@@ -239,11 +256,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, vec_id: str = "ve
                 mine = np.concatenate([np.arange(*np.searchsorted(at, [n, n + 1])) for n in lists])
                 mine = mine[ids[mine] != qid]
                 d = np.sqrt(((x[mine] - np.frombuffer(q, np.float64)) ** 2).sum(1))
-                # copies of a vector in several lists count once
-                near = np.lexsort((ids[mine], d)) if len(d) <= 4 * k * REPLICAS else np.flatnonzero(d <= np.partition(d, k * REPLICAS - 1)[k * REPLICAS - 1])
-                near = near[np.lexsort((ids[mine][near], d[near]))]
-                best = dict.fromkeys(zip(ids[mine][near].tolist(), d[near].tolist(), strict=True))
-                rows += [(qid, i, dist) for i, dist in list(best)[:k]]
+                # a vector in several lists, and rows that share a vec_id, count once
+                rows += [(qid, i, dist) for i, dist in best_of(ids[mine], d, k)]
         return pa.table({"query_id": pa.array([r[0] for r in rows], pa.int64()), "vec_id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.float64())})
 
     task_of = F.element_at(F.array(*(F.lit(int(t)) for t in base)), F.col("list") + 1) + F.pmod(F.xxhash64("vec_id"), F.element_at(F.array(*(F.lit(int(n)) for n in parts)), F.col("list") + 1)).cast("int")
