@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tersloom.llm.common import WORD_SPLIT, table
+from tersloom.llm.common import WORD_SPLIT, table, written
 
 # Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
@@ -57,7 +57,8 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     thresholds are nested. Only the second level's boundary bucket (a 2**-24 part of a source's rows on average, a hot source included) is
     put in hash order, and the document on the boundary gives the words still missing. Rows never move: each is filtered against its source's thresholds.
     Null texts have size 0 and take 0. Rows with equal doc_id share a hash and are ordered by size, and equal ones share what is left evenly by rank.
-    Null sources are one source, last. An empty table gives no rows. Other columns are ignored. Reruns agree: nothing depends on partitions.
+    Null sources are one source, last. An empty table gives no rows. Texts of any length count whole. Other columns, whatever their names, are not read (with
+    ``whole_rows`` they are carried along). Reruns agree: nothing depends on partitions.
     """
     bits, top = LEVEL_BITS, 60
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *([F.struct(*(F.col(c) for c in docs.columns)).alias("row")] if whole_rows else []))
@@ -67,17 +68,20 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     goal = targets(hist1.groupBy("source").agg(F.sum("words").alias("source_size")))
     goal = goal.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", F.round(F.col("target")).cast("long") - F.col("times") * F.col("source_size"))
+    # small tables of one row a source: as tables their size is known, so Spark broadcasts them below its threshold only
+    goal = written(goal, "goal")
     up1 = Window.partitionBy("source").orderBy("b1").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c1 = hist1.withColumn("upto", F.sum("words").over(up1)).join(goal.withColumnRenamed("source", "g"), F.col("source").eqNullSafe(F.col("g")))
     #: the boundary bucket holds the word number `rest`
     t1 = c1.filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") <= F.col("rest"))).select("source", F.col("b1").alias("t1"), (F.col("rest") - (F.col("upto") - F.col("words"))).alias("rest1"))
-    in1 = d.join(F.broadcast(t1.withColumnRenamed("source", "s1")), F.col("source").eqNullSafe(F.col("s1")) & (F.col("b1") == F.col("t1")))
+    t1 = written(t1, "first-thresholds")
+    in1 = d.select("source", "size", "b1", "b2").join(t1.withColumnRenamed("source", "s1"), F.col("source").eqNullSafe(F.col("s1")) & (F.col("b1") == F.col("t1")))
     hist2 = in1.groupBy("source", "b2").agg(F.sum("size").alias("words"), F.first("rest1").alias("rest1"))
     up2 = Window.partitionBy("source").orderBy("b2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t2 = hist2.withColumn("upto", F.sum("words").over(up2)).filter((F.col("upto") > F.col("rest1")) & (F.col("upto") - F.col("words") <= F.col("rest1"))).select("source", F.col("b2").alias("t2"), (F.col("rest1") - (F.col("upto") - F.col("words"))).alias("rest2"))
     # one row a source: thresholds, and what the last bucket still gives
     cuts = goal.alias("g").join(t1.withColumnRenamed("source", "s1"), F.col("g.source").eqNullSafe(F.col("s1")), "left").join(t2.withColumnRenamed("source", "s2"), F.col("g.source").eqNullSafe(F.col("s2")), "left").select(F.col("g.source").alias("gs"), "source_size", "target", "times", "t1", "t2", "rest2")
-    e = d.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("gs")))
+    e = d.join(written(cuts, "thresholds"), F.col("source").eqNullSafe(F.col("gs")))
     below = F.col("t1").isNull() | (F.col("b1") < F.col("t1")) | ((F.col("b1") == F.col("t1")) & (F.col("t2").isNull() | (F.col("b2") < F.col("t2"))))
     at = (F.col("b1") == F.col("t1")) & (F.col("b2") == F.col("t2"))
     keep = ["doc_id", "size", "source_size", "target", *(["row"] if whole_rows else [])]
