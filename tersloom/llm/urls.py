@@ -86,7 +86,8 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, page_id: str = "page_id",
     The longest fitting rule decides; without one, a page whose canonical URL is that of a listed URL is blocked, any other allowed.
     Only canonical URLs that pass the broadcast Bloom filter enter the exact join; all others never leave their task. The exact side is
     distinct, so a URL on many pages multiplies nothing, and its pages are a skewed outer side that adaptive execution can split.
-    Null url: empty host and path, no rule, allow. Repeated rows stay. An empty list or table gives allow or no rows. Other columns are ignored.
+    Null url: empty host and path, no rule, allow. Repeated rows stay. An empty list or table gives allow or no rows. URLs of any length are judged whole.
+    Other columns, whatever their names, are not read.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("canonical"))
     keys = listed.select(canonical(F.col(listed_url)).alias("canonical")).filter("canonical is not null").distinct()

@@ -26,7 +26,8 @@ SALTS = 16
 def decided(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, html, payload_bytes, payload_digest, refers_to (null: response) for every row.
 
-    Of equal payloads of at least 100 bytes the smallest page_id is the response; further rows with that very page_id are responses too.
+    Of equal payloads of at least 100 bytes the smallest page_id is the response; further rows with that very page_id are responses too;
+    rows with a null page_id revisit it, and are responses where no copy has a page_id.
     Only (digest, page_id) is aggregated, map-side first; the lookup back is salted.
     """
     p = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
@@ -37,7 +38,7 @@ def decided(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     firsts = firsts.select(F.col("payload_digest").alias("_d"), "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     salted = p.withColumn("_s", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     j = salted.join(firsts, (F.col("payload_digest") == F.col("_d")) & (F.col("_s") == F.col("_salt")), "left")
-    return j.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(F.col("first_id") != F.coalesce("page_id", F.lit(-1)), F.col("first_id")).alias("refers_to"))
+    return j.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id")).alias("refers_to"))
 
 
 def _clean(c: Column) -> Column:
@@ -231,7 +232,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True, range_bytes:
     A payload is null for revisits and where ``payload`` is false; payload_bytes is always that of the full payload.
     """
     spark.dataSource.register(WarcSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    if spark.conf.get("spark.sql.python.filterPushdown.enabled") != "true":
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # read when the plan is made, which is after this returns
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     store = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
@@ -244,7 +246,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     Responses: bytes and digest are of the payload that was read. Revisits have no payload; both come from their headers.
     Null html is the empty payload; null page_id and url come back null and empty; payloads below 100 bytes are always responses;
-    an empty table gives no rows; repeated rows are records each; other columns are ignored.
+    an empty table gives no rows; repeated rows are records each; payloads of any length are written and read whole; other columns are ignored.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
@@ -262,7 +264,7 @@ OP10_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
 SELECT page_id, payload_bytes, p.payload_digest,
-  CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+  CASE WHEN first_id IS NOT NULL AND first_id IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
 """

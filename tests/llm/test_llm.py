@@ -390,12 +390,17 @@ def test_ann(spark):
         assert np.allclose(g.score, [d[np.flatnonzero(ids == v)[0]] for v in g.vec_id], rtol=1e-12)
         hits.append(np.isin(want, g.vec_id).mean())
     assert np.mean(hits) >= 0.9
+    # rows that share a vec_id crowd nothing out; columns with clashing names
+    crowd = [(i, v.tolist(), "clash", 1) for i, v in enumerate(x[:800])] + [(7, (x[0] + 0.001 * r.normal(size=16)).astype(np.float32).tolist(), "clash", 1)] * 60
+    g = ann.nearest(spark.createDataFrame(crowd, "vec_id long, embedding array<float>, list string, x long")).toPandas()
+    g = g[g.query_id == 0].sort_values("rank")
+    assert len(g) == 10 and g.vec_id.iloc[0] == 7 and g.vec_id.is_unique
     few = ann.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1])], "vec_id long, embedding array<double>")).toPandas()
     assert few.sort_values("rank").vec_id.tolist() == [2, 1]
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_sharding(spark):
+def test_sharding(spark, tmp_path):
     texts = [" ".join(words(random.Random(i).randrange(1, 300), i)) for i in range(800)]
     got = sharded = sharding.sharded(docs_frame(spark, texts)).toPandas()
     assert sorted(got.doc_id) == list(range(800)) and set(got.shard) <= set(range(16)) and set(got.law) == {"bytes"}
@@ -409,6 +414,24 @@ def test_sharding(spark):
     rows = sharding.sharded(odd(spark)).toPandas()
     assert len(rows) == len(ODD) and rows["size"].min() == 1
     assert sharding.sharded(odd(spark).limit(0)).count() == 0
+    # brute force: the stored map and the place of every row
+    def by_hand(frame, path):
+        slots = {v: k for _, v, k, _ in sharding.load_map(spark, path)}
+        got = sharding.sharded(frame, map_path=path).toPandas()
+        assert all(slots[r.virtual_slot] == r.shard for r in got.itertuples())
+        for _, g in got.groupby("shard"):
+            assert sorted(g.slot) == list(range(len(g)))
+        return got
+
+    path = str(tmp_path / "map")
+    before = sharding.sharded(docs_frame(spark, texts), map_path=path).toPandas()
+    assert sharding.versions(spark, path) == [1] and set(before.map_version) == {1}
+    assert sharding.rebalance(spark, path, 17) == 2 and sharding.versions(spark, path) == [1, 2]
+    after = by_hand(docs_frame(spark, texts).repartition(5), path)
+    both = before.merge(after, on="doc_id")
+    assert set(after.map_version) == {2} and 0 < (both.shard_x != both.shard_y).mean() < 0.12 and set(both.shard_y[both.shard_x != both.shard_y]) == {16}
+    with pytest.raises(Exception):
+        sharding.save_map(spark, path, sharding.load_map(spark, path, 1))
     old = sharding.first_map({i: (i * 37) % 101 + 1 for i in range(4096)}, 16)
     new = sharding.rebalanced(old, 17)
     assert {r[0] for r in new} == {2} and all(b[2] in (a[2], 16) for a, b in zip(old, new, strict=True))
@@ -473,6 +496,7 @@ def test_warc_round_trip(spark, tmp_path):
     assert by[1]["record_type"] == "response" and bytes(by[1]["payload"]).decode() == big
     assert by[2]["record_type"] == "revisit" and by[2]["refers_to"] == 1 and by[2]["payload"] is None and by[2]["payload_bytes"] == len(big.encode())
     assert by[5]["record_type"] == by[6]["record_type"] == "response" and by[4]["payload_bytes"] == by[3]["payload_bytes"] == 0
+    assert by[None]["record_type"] == "revisit" and by[None]["refers_to"] == 8 and by[8]["record_type"] == "response"
     only = warc.read_warc(spark, path, payload=False).filter("record_type = 'revisit'")
     assert "warc" in only._jdf.queryExecution().toString().lower() and only.count() == sum(r["record_type"] == "revisit" for r in got)
     assert warc.read_warc(spark, path).filter(F.col("url").isin("http://a", "http://7")).count() == 2
