@@ -68,12 +68,12 @@ def fuzzy_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH {PARAS_SQL}, s AS (SELECT doc_id, idx, {_SIG} AS sig FROM paras WHERE idx < 12)
+WITH {PARAS_SQL}, s AS (SELECT doc_id, idx, {_SIG} AS sig FROM paras)
 SELECT a.doc_id, a.idx::BIGINT AS i, b.idx::BIGINT AS j, round(len(list_intersect(a.sig, b.sig))::DOUBLE / len(list_distinct(list_concat(a.sig, b.sig))), 9) AS jaccard
 FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.idx < b.idx WHERE len(list_intersect(a.sig, b.sig))::DOUBLE / len(list_distinct(list_concat(a.sig, b.sig))) >= 0.3""")
 def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs among the first twelve paragraphs of each document (a report), compared inside its array."""
-    d = plain_nodes(spark, sf).withColumn("s", F.transform(F.slice("nodes", 1, 12), lambda n: F.array_distinct(X.tokens_of(F.lower(n["text"])))))
+    """Pairs among all paragraphs of each document, compared inside its array."""
+    d = plain_nodes(spark, sf).withColumn("s", F.transform("nodes", lambda n: F.array_distinct(X.tokens_of(F.lower(n["text"])))))
     i = d.select("doc_id", "s", F.posexplode("s").alias("i", "a"))
     p = i.select("doc_id", "i", "a", F.posexplode("s").alias("j", "b")).filter("i < j").withColumn("jaccard", N.jaccard(F.col("a"), F.col("b"))).filter("jaccard >= 0.3")
     return p.select("doc_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("jaccard", 9).alias("jaccard"))
@@ -105,16 +105,25 @@ def code_summary(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", "n.text", F.round(F.col("n.importance").cast("double"), 6).alias("importance"))
 
 
-@query(r"SELECT doc_id, trim(CASE WHEN regexp_extract(text, '(?s)^(.*?[.!?])', 1) <> '' THEN regexp_extract(text, '(?s)^(.*?[.!?])', 1) ELSE text END, ' ' || chr(9) || chr(10) || chr(13)) AS sentence FROM documents WHERE NOT regexp_matches(text, '[0-9]')")
+@query(r"SELECT doc_id, trim(CASE WHEN regexp_extract(text, '(?s)^(.*?[.!?])', 1) <> '' THEN regexp_extract(text, '(?s)^(.*?[.!?])', 1) ELSE text END, ' ' || chr(9) || chr(10) || chr(13)) AS sentence FROM documents")
 def first_sentence_simple(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents without digits; columns only."""
-    return documents(spark, sf).filter(~F.col("text").rlike("[0-9]")).select("doc_id", N.first_sentence_simple("text").alias("sentence"))
+    """The first mark ends the sentence, whatever stands around it; columns only."""
+    return documents(spark, sf).select("doc_id", N.first_sentence_simple("text").alias("sentence"))
 
 
-@query("SELECT doc_id, 'Dr. Smith paid $3.50, e.g. to us.' AS first_sentence FROM documents")
+@query("SELECT doc_id, ['Dr. ', 'Mr. ', 'e.g. '][(doc_id % 3 + 1)::INT] || 'Smith ' || doc_id || ' paid $' || doc_id || '.50, e.g. to us' || ['.', '!', '?'][(doc_id % 7 % 3 + 1)::INT] AS first_sentence FROM documents")
 def first_sentence_abbrev(spark: SparkSession, sf: str) -> DataFrame:
-    """The kernel on texts that begin with abbreviations and a decimal."""
-    return D.first_sentences(documents(spark, sf).withColumn("text", F.concat(F.lit("Dr. Smith paid $3.50, e.g. to us. "), "text"))).select("doc_id", "first_sentence")
+    """The kernel on texts that begin with an abbreviation and a decimal, another in each row."""
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    k = F.col("doc_id")
+    head = F.concat(pick(("Dr. ", "Mr. ", "e.g. "), k % 3), F.lit("Smith "), k.cast("string"), F.lit(" paid $"), k.cast("string"), F.lit(".50, e.g. to us"), pick(".!?", k % 7 % 3), F.lit(" "))
+    return D.first_sentences(documents(spark, sf).withColumn("text", F.concat(head, "text"))).select("doc_id", "first_sentence")
+
+
+@query()
+def first_sentence(spark: SparkSession, sf: str) -> DataFrame:
+    """The kernel on every document's own text."""
+    return D.first_sentences(documents(spark, sf)).select("doc_id", "first_sentence")
 
 
 def _compressed(spark: SparkSession, sf: str, fidelity: str) -> DataFrame:

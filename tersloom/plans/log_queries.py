@@ -255,10 +255,10 @@ def judge_rollup(spark: SparkSession, sf: str) -> DataFrame:
 # --------------------------------------------------------------------------- scalar functions
 
 
-@query("""SELECT page_id, CASE WHEN length(url) > 20 THEN left(url, 19) || '…' ELSE url END AS short, replace(replace(replace(replace(replace(html[1:200], '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS escaped,
-  replace(html[1:200], '</', '<' || chr(92) || '/') AS script, trim(replace(format('{:,}', page_id * 12345), ',', ' ')) AS spaced FROM pages""")
+@query("""SELECT page_id, CASE WHEN length(url) > 20 THEN left(url, 19) || '…' ELSE url END AS short, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS escaped,
+  replace(html, '</', '<' || chr(92) || '/') AS script, trim(replace(format('{:,}', page_id * 12345), ',', ' ')) AS spaced FROM pages""")
 def scalar_strings(spark: SparkSession, sf: str) -> DataFrame:
-    h = F.substring("html", 1, 200)
+    h = F.col("html")
     return table(spark, sf, "pages").select("page_id", X.shortened("url", 20).alias("short"), X.html_escape(h).alias("escaped"), X.script_safe(h).alias("script"), X.spaced_thousands(F.col("page_id") * 12345).alias("spaced"))
 
 
