@@ -137,14 +137,17 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first = F.min(F.struct("d", "th", "line_no")).alias("id")
     distinct = written(hashed.groupBy("l1", "l2").agg(F.count("*").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), *(F.min(f"k{x}").alias(f"k{x}") for x in range(PLANE)), first), "distinct")
     found = [stars(distinct, bands, str(i)) for i, bands in enumerate(PASSES)]
-    near = written(reduce(DataFrame.unionByName, (s for s, _ in found)).groupBy("x", "y").agg(F.min("bits").alias("bits")), "near")
+    stored = near = written(reduce(DataFrame.unionByName, (s for s, _ in found)).groupBy("x", "y").agg(F.min("bits").alias("bits")), "near")
     texts = texts_of(near, distinct, docs, doc_id, text)
     closest = near.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+    # two lines may be each other's closest pivots
+    closest = ordered(closest).distinct()
+    near = ordered(near).distinct()
     links = written(verified(closest, texts), "links")
-    open_pairs = written(between(near.select("x", "y").join(closest, ["x", "y"], "left_anti"), connected_components(links, "x", "y")), "open")
+    open_pairs = written(between(near.join(closest, ["x", "y"], "left_anti"), connected_components(links, "x", "y")), "open")
     links = written(links.unionByName(verified(open_pairs, texts)), "links")
     apart = written(between_blocks(reduce(DataFrame.unionByName, (m.filter("n > 2") for _, m in found)), connected_components(links, "x", "y")), "apart")
-    more = written(apart.join(near.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")), ["x", "y"], "left_anti"), "more")
+    more = written(apart.join(near, ["x", "y"], "left_anti"), "more")
     pairs = links.select("a", "b")
     if not more.isEmpty():
         dropped(texts)
@@ -155,7 +158,7 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     copied = distinct.filter("n > 1").select("l1", "l2", "id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     exactly = hashed.withColumn("salt", F.pmod(F.xxhash64("d", "line_no"), F.lit(SALTS)).cast("int")).join(copied, ["l1", "l2", "salt"]).filter(F.struct("d", "th", "line_no") != F.col("id")).select("d", "th", "line_no")
     out = written(exactly.unionByName(nearly).distinct(), "dups")
-    for t in (hashed, near, links, open_pairs, apart, more, distinct, texts, groups, *(t for pair in found for t in pair)):
+    for t in (hashed, stored, links, open_pairs, apart, more, distinct, texts, groups, *(t for pair in found for t in pair)):
         dropped(t)
     return out
 
@@ -165,6 +168,10 @@ def named(rows: DataFrame, column: str, components: DataFrame, out: str) -> Data
     return rows.join(components.select(F.col("node").alias(column), F.col("component").alias(out)), column, "left").withColumn(out, F.coalesce(out, column))
 
 
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+
+
 def between(pairs: DataFrame, components: DataFrame) -> DataFrame:
     """The pairs (x, y) of different components."""
     return named(named(pairs, "x", components, "cx"), "y", components, "cy").filter("cx <> cy").select("x", "y")
@@ -199,8 +206,12 @@ def texts_of(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, doc_id: str
 
 #: Words of the pieces that lines of equal word counts are compared by.
 PIECE = 4
-#: Parts of the allowed distance that are tried first: the distance's cost grows with its bound.
+#: Words of a shingle that is an anchor if it stands once in each of two lines.
+ANCHOR = 3
+#: Parts of the allowed distance that are tried first where there are no anchors: the distance's cost grows with its bound.
 BOUNDS = (8, 3)
+#: Lines whose length times the allowed distance is no more than this are compared at once: cutting them to pieces would cost more.
+CELLS = 1 << 13
 
 
 def once(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -208,43 +219,91 @@ def once(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
+def stretch(words: str, begin: str, end: str) -> str:
+    """The text of some words in a row. ``slice`` would copy all words for each stretch, so they are picked one by one."""
+    return f"array_join(transform(if({begin} < {end}, sequence({begin}, {end} - 1), cast(array() as array<int>)), q -> get({words}, q)), ' ')"
+
+
+def apart(spans: str, bound: str = "allowed") -> str:
+    """Sum of the distances of stretches (a0, a1, b0, b1) of va and vb, or a number above ``allowed``, as if one is beyond ``bound``. One side without a word lacks a blank, too."""
+    d = f"levenshtein({stretch('va', 'p.a0', 'p.a1')}, {stretch('vb', 'p.b0', 'p.b1')}, {bound})"
+    # -1, beyond the bound, becomes allowed + 1, written so that the distance is computed once
+    return f"aggregate({spans}, 0, (s, p) -> if(s > allowed, s, s + if((p.a0 < p.a1) <> (p.b0 < p.b1), 1, 0) + pmod({d}, allowed + 2)))"
+
+
+def longest(spans: str) -> str:
+    """Sum of the lengths of the stretches' longer sides, which their distances do not exceed."""
+    length = lambda v, x: f"aggregate(if(p.{x}0 < p.{x}1, sequence(p.{x}0, p.{x}1 - 1), cast(array() as array<int>)), 0, (n, q) -> n + length(get({v}, q)) + 1)"
+    return f"aggregate({spans}, 0, (s, p) -> if(s > allowed, s, s + greatest({length('va', 'a')}, {length('vb', 'b')})))"
+
+
+def trimmed(spans: str) -> str:
+    """The stretches without the words that both sides begin and end with: a run of one word is an insertion then."""
+    least = "least(p.a1 - p.a0, p.b1 - p.b0)"
+    # the false one at the end stands behind all equal words
+    equal = lambda most, a, b: f"cast(array_position(concat(transform(if({most} > 0, sequence(0, {most} - 1), cast(array() as array<int>)), q -> get(va, {a}) = get(vb, {b})), array(false)), false) - 1 as int)"
+    ahead = f"transform({spans}, p -> struct(p.a0, p.a1, p.b0, p.b1, {equal(least, 'p.a0 + q', 'p.b0 + q')} as same))"
+    begun = f"transform({ahead}, p -> struct(p.a0 + p.same as a0, p.a1, p.b0 + p.same as b0, p.b1))"
+    behind = f"transform({begun}, p -> struct(p.a0, p.a1, p.b0, p.b1, {equal(least, 'p.a1 - 1 - q', 'p.b1 - 1 - q')} as same))"
+    return f"transform({behind}, p -> struct(p.a0, p.a1 - p.same as a1, p.b0, p.b1 - p.same as b1))"
+
+
+def anchors(j: DataFrame) -> DataFrame:
+    """Adds spans: the stretches of va and vb between words of anchors that stand in the same order, without pairs of one equal word each; null where anchors
+    are missing or stand in another order.
+
+    Both sides' shingles, sorted together by hash, show those that stand once in each. A place that does not lie between those of its neighbours is a chance
+    match. Stretches are compared by their texts, so equal hashes of unequal shingles do no harm."""
+    each = lambda v, side: F.expr(f"transform({v}, (w, i) -> struct(xxhash64(w, {', '.join(f'get({v}, i + {k})' for k in range(1, ANCHOR))}) as h, {side} as side, i as at))")
+    j = once(j, both=F.sort_array(F.concat(each("va", 0), each("vb", 1))))
+    own = "e.side = 0 and get(both, i + 1).side = 1 and get(both, i + 1).h = e.h and not get(both, i - 1).h <=> e.h and not get(both, i + 2).h <=> e.h"
+    found = f"filter(transform(both, (e, i) -> if({own}, struct(e.at as a, get(both, i + 1).at as b), null)), e -> e is not null)"
+    # the words of an anchor, and the place behind it
+    places = f"flatten(transform({found}, e -> transform(sequence(0, {ANCHOR}), k -> struct(cast(least(e.a + k, size(va)) as int) as a, cast(least(e.b + k, size(vb)) as int) as b))))"
+    j = once(j, met=F.sort_array(F.array_distinct(F.expr(places)))).drop("both")
+    j = once(j, kept=F.expr("filter(met, (e, i) -> nvl(get(met, i - 1).b <= e.b, true) and nvl(get(met, i + 1).b >= e.b, true))")).drop("met")
+    ordered = "size(kept) > 0 and forall(sequence(0, size(kept) - 1), i -> nvl(get(kept, i - 1).b <= get(kept, i).b, true))"
+    j = once(j, cuts=F.expr(f"if({ordered}, concat(kept, array(struct(size(va) as a, size(vb) as b))), null)")).drop("kept")
+    spans = "transform(cuts, (e, i) -> struct(nvl(get(cuts, i - 1).a, 0) as a0, e.a as a1, nvl(get(cuts, i - 1).b, 0) as b0, e.b as b1))"
+    same = "(p.a0 = p.a1 and p.b0 = p.b1) or (p.a0 + 1 = p.a1 and p.b0 + 1 = p.b1 and get(va, p.a0) = get(vb, p.b0))"
+    j = once(j, ends=F.expr(f"filter({spans}, p -> not ({same}))")).drop("cuts")
+    return once(j, spans=F.expr(trimmed("ends"))).drop("ends")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """x, y, and a, b (their first occurrences) of the pairs whose normalised lines have an edit similarity of at least SIMILARITY.
 
-    The words that both lines begin and end with are cut off, which changes no distance. What is left is no farther apart than its longer side is long.
-    Words that stand once in each side are anchors; if their order is the same, the sides are no farther apart than the stretches between the anchors
-    together. Lines of equal word counts are no farther apart than their pieces of PIECE words together. What these bounds leave open takes the whole distance, whose cost is a length times a bound, so small bounds are tried first.
+    Short lines are compared at once. Of others the words that both lines begin and end with are cut off, which changes no distance. What is left is no
+    farther apart than its longer side is long, and no farther than the stretches between anchors (see ``anchors``) together, nor than the longer sides of
+    these. Lines of equal word counts are no farther apart than their pieces of PIECE words together. What these bounds leave open takes the whole distance, whose cost is a length times a bound,
+    so without anchors small bounds are tried first.
     """
     j = pairs.join(texts, "x").join(texts.select(F.col("x").alias("y"), F.col("id").alias("id2"), F.col("norm").alias("norm2")), "y")
     allowed = F.expr("cast(floor(greatest(length(norm), length(norm2)) * %r + 1e-9) as int)" % round(1 - SIMILARITY, 9))
     j = j.select("x", "y", "id", "id2", "norm", "norm2", allowed.alias("allowed")).filter(F.abs(F.length("norm") - F.length("norm2")) <= F.col("allowed"))
-    j = once(j, wa=F.split("norm", " "), wb=F.split("norm2", " ")).drop("norm", "norm2")
+    j = once(j, brief=F.expr(f"cast(greatest(length(norm), length(norm2)) as long) * allowed <= {CELLS}"))
+    j = once(j, at_once=F.expr("brief and levenshtein(norm, norm2, allowed) >= 0")).filter("at_once or not brief")
+    none = "cast(array() as array<string>)"
+    j = once(j, wa=F.expr(f"if(brief, {none}, split(norm, ' '))"), wb=F.expr(f"if(brief, {none}, split(norm2, ' '))")).drop("norm", "norm2")
     differ = lambda p, q: F.array_position(F.zip_with(p, q, lambda v, w: v.eqNullSafe(w)), F.lit(False)).cast("int")
     j = once(j, ahead=differ("wa", "wb"), behind=differ(F.reverse("wa"), F.reverse("wb")), shorter=F.least(F.size("wa"), F.size("wb")))
     j = once(j, head=F.expr("if(ahead = 0, shorter, ahead - 1)"))
     j = once(j, tail=F.expr("least(shorter - head, if(behind = 0, shorter, behind - 1))"))
-    j = once(j, va=F.expr("slice(wa, head + 1, size(wa) - head - tail)"), vb=F.expr("slice(wb, head + 1, size(wb) - head - tail)"))
+    j = once(j, va=F.expr("slice(wa, head + 1, size(wa) - head - tail)"), vb=F.expr("slice(wb, head + 1, size(wb) - head - tail)")).drop("wa", "wb")
     j = once(j, ta=F.array_join("va", " "), tb=F.array_join("vb", " "))
-    short = "size(va) = 0 or size(vb) = 0 or greatest(length(ta), length(tb)) <= allowed"
-    j = once(j, sa=F.expr(f"if({short}, array(), array_sort(va))"), sb=F.expr(f"if({short}, array(), array_sort(vb))"))
-    again = lambda s: F.filter(s, lambda w, i: F.get(s, i + 1).eqNullSafe(w))
-    j = once(j, ua=F.array_except(F.expr(f"if({short}, array(), va)"), again(F.col("sa"))), ub=F.array_except(F.expr(f"if({short}, array(), vb)"), again(F.col("sb"))))
-    j = once(j, anchors=F.array_intersect("ua", "ub"), ordered=F.array_intersect("ua", "ub") == F.array_intersect("ub", "ua"))
-
-    # the anchors stand in this order in both sides, so one walk marks them; no line holds a line end, so that can be the mark
-    def marked(words: str) -> str:
-        step = "named_struct('at', s.at + 1, 'out', concat(s.out, '\\n'))"
-        other = "named_struct('at', s.at, 'out', concat(s.out, ' ', w))"
-        return f"split(aggregate({words}, named_struct('at', 0, 'out', ''), (s, w) -> if(w <=> get(anchors, s.at), {step}, {other})).out, '\\n')"
-
-    between = f"aggregate(zip_with({marked('va')}, {marked('vb')}, (p, q) -> levenshtein(p, q)), 0, (s, d) -> s + d)"
-    pieces = f"aggregate(sequence(0, (size(va) - 1) div {PIECE}), 0, (s, i) -> s + levenshtein(array_join(slice(va, i * {PIECE} + 1, {PIECE}), ' '), array_join(slice(vb, i * {PIECE} + 1, {PIECE}), ' ')))"
-    tried = " ".join(f"when not (ordered and size(anchors) > 0) and levenshtein(ta, tb, allowed div {b}) >= 0 then true" for b in BOUNDS)
     # a side of which nothing is left lacks the other's words and a blank
-    similar = f"""case when size(va) = 0 or size(vb) = 0 then length(ta) + length(tb) < allowed when greatest(length(ta), length(tb)) <= allowed then true
-        when ordered and size(anchors) > 0 and {between} <= allowed then true
-        when size(va) = size(vb) and size(va) > {PIECE} and {pieces} <= allowed then true {tried} else levenshtein(ta, tb, allowed) >= 0 end"""
-    return once(j, similar=F.expr(similar)).filter("similar").select("x", "y", F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b"))
+    j = once(j, seen=F.expr("""case when brief then at_once when size(va) = 0 or size(vb) = 0 then length(ta) + length(tb) < allowed
+        when greatest(length(ta), length(tb)) <= allowed then true end"""))
+    j = once(j, ua=F.expr(f"if(seen is null, va, {none})"), ub=F.expr(f"if(seen is null, vb, {none})")).drop("va", "vb").withColumnsRenamed({"ua": "va", "ub": "vb"})
+    j = anchors(j)
+    at = lambda i: f"cast(least({i} * {PIECE}, size(va)) as int)"
+    pieces = f"transform(sequence(0, (size(va) - 1) div {PIECE}), i -> struct({at('i')} as a0, {at('(i + 1)')} as a1, {at('i')} as b0, {at('(i + 1)')} as b1))"
+    tried = " ".join(f"when spans is null and levenshtein(ta, tb, allowed div {b}) >= 0 then true" for b in BOUNDS)
+    similar = f"""case when seen is not null then seen when spans is not null and {longest('spans')} <= allowed then true
+        when size(va) = size(vb) and {apart(pieces)} <= allowed then true when spans is not null and {apart('spans', f'allowed div {BOUNDS[0]}')} <= allowed then true
+        when spans is not null and {apart('spans')} <= allowed then true {tried} else levenshtein(ta, tb, allowed) >= 0 end"""
+    j = once(j, similar=F.expr(similar))
+    return j.filter("similar").select("x", "y", F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b"))
 
 
 def line_decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
