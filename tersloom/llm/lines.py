@@ -211,7 +211,7 @@ ANCHOR = 3
 #: Parts of the allowed distance that are tried first where there are no anchors: the distance's cost grows with its bound.
 BOUNDS = (8, 3)
 #: Lines whose length times the allowed distance is no more than this are compared at once: cutting them to pieces would cost more.
-CELLS = 1 << 13
+CELLS = 1 << 15
 
 
 def once(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -282,7 +282,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     allowed = F.expr("cast(floor(greatest(length(norm), length(norm2)) * %r + 1e-9) as int)" % round(1 - SIMILARITY, 9))
     j = j.select("x", "y", "id", "id2", "norm", "norm2", allowed.alias("allowed")).filter(F.abs(F.length("norm") - F.length("norm2")) <= F.col("allowed"))
     j = once(j, brief=F.expr(f"cast(greatest(length(norm), length(norm2)) as long) * allowed <= {CELLS}"))
-    j = once(j, at_once=F.expr("brief and levenshtein(norm, norm2, allowed) >= 0")).filter("at_once or not brief")
+    j = once(j, at_once=F.expr(f"brief and (levenshtein(norm, norm2, allowed div {BOUNDS[0]}) >= 0 or levenshtein(norm, norm2, allowed) >= 0)")).filter("at_once or not brief")
     none = "cast(array() as array<string>)"
     j = once(j, wa=F.expr(f"if(brief, {none}, split(norm, ' '))"), wb=F.expr(f"if(brief, {none}, split(norm2, ' '))")).drop("norm", "norm2")
     differ = lambda p, q: F.array_position(F.zip_with(p, q, lambda v, w: v.eqNullSafe(w)), F.lit(False)).cast("int")

@@ -537,3 +537,42 @@ def test_pipeline(spark):
     assert all(c == i for i, (_, c) in comp.items())
     assert len(seen[5]) == len(seen[4]) and set(seen[5].columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
     assert corpus_pipeline.run(spark, SF).count() == len(seen[5])
+
+
+def test_line_verification_is_exact(spark, monkeypatch):
+    """The cheap bounds decide as the whole distance does: runs of one word, moved parts, insertions, typos, equal and empty rests; for lines cut to pieces too."""
+    import random
+
+    from tersloom.llm import lines as L
+
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefg") for _ in range(r.randint(1, 8))) for _ in range(60)]
+    rows, pairs = [], []
+    for n in (1, 3, 10, 40, 120):
+        for kind in range(8):
+            a = [w for w in r.choices(words, k=n) for _ in range(5 if kind == 7 else 1)]
+            share = (0, 0.03, 0.12, 0.2, 0.25, 0.1, 0.05, 0.05)[kind]
+            change = lambda w: r.choice([r.choice(words), f"{w} {r.choice(words)}", "", w + "é"])
+            b = " ".join(" ".join(change(w) if r.random() < share else w for w in a).split()) or "x"
+            if kind == 5:
+                b = " ".join(reversed(b.split()))
+            k = len(rows)
+            rows += [(k, k, " ".join(a)), (k + 1, k + 1, b)]
+            pairs.append((k + 1, k))
+    texts, asked = spark.createDataFrame(rows, "x long, id long, norm string"), spark.createDataFrame(pairs, "x long, y long")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    text = {x: t for x, _, t in rows}
+    want = {(x, y) for x, y in pairs if 5 * distance(text[x], text[y]) <= max(len(text[x]), len(text[y]))}
+    assert 0 < len(want) < len(pairs)
+    for cells in (L.CELLS, -1):
+        monkeypatch.setattr(L, "CELLS", cells)
+        assert {(x, y) for x, y in L.verified(asked, texts).select("x", "y").collect()} == want
+    assert L.verified(asked.limit(0), texts).count() == 0
