@@ -292,7 +292,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     j = once(j, va=F.expr("slice(wa, head + 1, size(wa) - head - tail)"), vb=F.expr("slice(wb, head + 1, size(wb) - head - tail)")).drop("wa", "wb")
     j = once(j, ta=F.array_join("va", " "), tb=F.array_join("vb", " "))
     # a side of which nothing is left lacks the other's words and a blank
-    j = once(j, seen=F.expr("""case when brief then at_once when size(va) = 0 or size(vb) = 0 then length(ta) + length(tb) < allowed
+    j = once(j, seen=F.expr("""case when brief then at_once when size(va) = 0 and size(vb) = 0 then true when size(va) = 0 or size(vb) = 0 then length(ta) + length(tb) < allowed
         when greatest(length(ta), length(tb)) <= allowed then true end"""))
     j = once(j, ua=F.expr(f"if(seen is null, va, {none})"), ub=F.expr(f"if(seen is null, vb, {none})")).drop("va", "vb").withColumnsRenamed({"ua": "va", "ub": "vb"})
     j = anchors(j)
