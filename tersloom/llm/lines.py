@@ -35,6 +35,8 @@ SIMILARITY = 0.8
 SPLIT = 2048
 #: Salts of the join that finds the copies of a line: one line may be a third of all lines.
 SALTS = 16
+#: What tells a line: 176 bits of its words, and its length, which rules most chance pairs out before anything is fetched.
+LINE = ["l1", "s1", "s2", "len"]
 _ONES = 0x0001010101010101
 _HIGH = 0x0080808080808080
 _NO_ID = -(2**63)
@@ -68,11 +70,11 @@ def packed(minima: list[Column]) -> list[Column]:
 
 
 def simhashed(lines: DataFrame) -> DataFrame:
-    """d, th, line_no, l1, l2 (128 bits of the normalised line), s1, s2 (56 bits each), k0 to k4 (minima of the words, see packed) of every line. Every row
+    """d, th, line_no, l1, l2 (128 bits of the normalised line), len (its characters), s1, s2 (56 bits each), k0 to k4 (minima of the words, see packed) of every line. Every row
     of ``lines`` is added up by itself, so a document that is given twice counts no word twice: its lines come out as equal rows."""
     words = F.slice(F.sort_array(F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))), 1, SKETCH)
-    own = ["d", "th", "line_no", "l1", "l2"]
-    w = lines.select("d", "th", "line_no", F.xxhash64("norm").alias("l1"), F.xxhash64("norm", F.lit("2")).alias("l2"), F.monotonically_increasing_id().alias("row"), words.alias("words"))
+    own = ["d", "th", "line_no", "l1", "l2", "len"]
+    w = lines.select("d", "th", "line_no", F.xxhash64("norm").alias("l1"), F.xxhash64("norm", F.lit("2")).alias("l2"), F.length("norm").alias("len"), F.monotonically_increasing_id().alias("row"), words.alias("words"))
     w = w.select("row", *own, F.explode("words").alias("h1")).withColumn("h2", F.xxhash64("h1"))
     lanes = [F.sum(F.expr(f"shiftrightunsigned(h{k}, {i}) & {_ONES}L")).alias(f"a{k}{i}") for k in (1, 2) for i in range(8)]
     least = [F.min(F.expr(f"cast(((h1 & 2147483647L) * {c}L) & 2147483647L as int)")).alias(f"m{i}") for i, c in enumerate(_ORDERS)]
@@ -98,26 +100,37 @@ def band_keys(band: int) -> list[Column]:
 
 
 def blocks(lines: DataFrame, bands: list[int]) -> DataFrame:
-    """key, l1, s1, s2: a row for each line and block."""
-    return lines.select("l1", "s1", "s2", F.explode(F.array(*(k for b in bands for k in band_keys(b)))).alias("key"))
+    """key, x: a row for each line and block; x = (l1, s1, s2, len) tells a line."""
+    return lines.select(F.struct(*LINE).alias("x"), F.explode(F.array(*(k for b in bands for k in band_keys(b)))).alias("key"))
+
+
+def allowed(x: Column, y: Column) -> Column:
+    """The largest edit distance of similar lines of these lengths."""
+    return F.floor(F.greatest(x, y) * F.lit(round(1 - SIMILARITY, 9)) + F.lit(1e-9)).cast("int")
 
 
 def bits_between(x: str, y: str) -> Column:
     return F.expr(f"bit_count({x}.s1 ^ {y}.s1) + bit_count({x}.s2 ^ {y}.s2)")
 
 
+def may_be_similar(x: str, y: str) -> Column:
+    """Few bits differ, and the lengths differ by no more than similar lines can."""
+    n, m = F.col(f"{x}.len"), F.col(f"{y}.len")
+    return (bits_between(x, y) <= MOST_BITS) & (F.abs(n - m) <= allowed(n, m))
+
+
 def stars(distinct: DataFrame, bands: list[int], name: str) -> tuple[DataFrame, DataFrame]:
-    """Two tables: (x, y, bits), each member of a block with its pivot if they differ in few bits, and (key, n, x), the members of all blocks of three or
-    more; x = (l1, s1, s2) tells a line, 176 bits of its words. A block's pivot is its smallest by a hash of block and line, so the blocks of one group of
+    """Two tables: (x, y, bits), each member of a block with its pivot if they may be similar, and (key, n, x), the members of all blocks of three or
+    more. A block's pivot is its smallest by a hash of block and line, so the blocks of one group of
     copies have different pivots: a line that one pivot is too far from is compared with others."""
     every = blocks(distinct, bands)
     crowded = written(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "crowded")
     # a filter of fixed size keeps rows of keys that are alone from moving; the exact join leaves out the rest
-    member = passing(every, "key", bloom_filter(crowded, "key")).filter("maybe_listed").select("key", F.struct("l1", "s1", "s2").alias("x")).join(crowded, "key")
+    member = passing(every, "key", bloom_filter(crowded, "key")).filter("maybe_listed").select("key", "x").join(crowded, "key")
     member = written(member.select("key", "n", "x"), f"members-{name}")
     dropped(crowded)
     pivot = member.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "x").alias("h"), "x")).alias("p")).select("key", F.col("p.x").alias("p"))
-    near = member.join(pivot, "key").filter("x <> p").select("x", F.col("p").alias("y"), bits_between("x", "p").alias("bits")).filter(F.col("bits") <= MOST_BITS)
+    near = member.join(pivot, "key").filter(F.expr("x <> p") & may_be_similar("x", "p")).select("x", F.col("p").alias("y"), bits_between("x", "p").alias("bits"))
     return written(near.groupBy("x", "y").agg(F.min("bits").alias("bits")), f"stars-{name}"), member
 
 
@@ -126,7 +139,7 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     1. Equal normalised lines fall together by hash with map-side partial results; a line in a third of all documents is one row then.
     2. Distinct lines meet by blocks of the SimHash and by minima of their words. In each block every member is compared with a pivot. Pairs that differ in
-       few bits are verified by edit similarity on their texts, which are fetched through a broadcast Bloom filter of fixed size and an exact join: first
+       few bits and whose lengths allow the similarity are verified by edit similarity on their texts, which are fetched through a broadcast Bloom filter of fixed size and an exact join: first
        each line's closest pivot, then the other pivots that this leaves in another component.
     3. Members outside the largest component of a block meet all members of other components. Pairs within a component need no verdict, so a hot block of
        alike lines stays linear, and no pair that shares a block, differs in few bits and would join two components is missed. Pairs in which most words
@@ -135,7 +148,7 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     hashed = written(simhashed(exploded(docs, doc_id, text)), "lines")
     first = F.min(F.struct("d", "th", "line_no")).alias("id")
-    distinct = written(hashed.groupBy("l1", "l2").agg(F.count("*").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), *(F.min(f"k{x}").alias(f"k{x}") for x in range(PLANE)), first), "distinct")
+    distinct = written(hashed.groupBy("l1", "l2").agg(F.count("*").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min("len").alias("len"), *(F.min(f"k{x}").alias(f"k{x}") for x in range(PLANE)), first), "distinct")
     found = [stars(distinct, bands, str(i)) for i, bands in enumerate(PASSES)]
     stored = near = written(reduce(DataFrame.unionByName, (s for s, _ in found)).groupBy("x", "y").agg(F.min("bits").alias("bits")), "near")
     texts = texts_of(near, distinct, docs, doc_id, text)
@@ -178,7 +191,7 @@ def between(pairs: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def between_blocks(members: DataFrame, components: DataFrame) -> DataFrame:
-    """(x, y), x > y: the members outside their block's largest component with all members of the block in other components that differ in few bits.
+    """(x, y), x > y: the members outside their block's largest component with all members of the block in other components that may be similar.
     A block is split by the hash of its members into a part for each SPLIT of them, and the asking members go to all parts: no task holds a hot block."""
     m = written(named(members, "x", components, "c"), "named")
     of = m.groupBy("key", "c").agg(F.count("*").alias("k"), F.max("n").alias("n")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.max("n").alias("n"))
@@ -188,14 +201,14 @@ def between_blocks(members: DataFrame, components: DataFrame) -> DataFrame:
     asking = m.filter("c <> main").select("key", "x", "c", "main", F.explode(F.sequence(F.lit(0), parts)).alias("part"))
     others = m.select("key", F.col("x").alias("y"), F.col("c").alias("cy"), F.pmod(F.xxhash64("x"), parts + 1).cast("int").alias("part"))
     # of two asking members the larger asks
-    pairs = asking.join(others, ["key", "part"]).filter((F.col("c") != F.col("cy")) & (bits_between("x", "y") <= MOST_BITS) & ((F.col("cy") == F.col("main")) | (F.col("x") > F.col("y"))))
+    pairs = asking.join(others, ["key", "part"]).filter((F.col("c") != F.col("cy")) & may_be_similar("x", "y") & ((F.col("cy") == F.col("main")) | (F.col("x") > F.col("y"))))
     return pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
 
 
 def texts_of(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(x, id, norm): the first occurrence and the normal form of each distinct line in ``pairs``."""
     asked = pairs.select(F.explode(F.array("x", "y")).alias("x")).distinct()
-    ids = written(distinct.select(F.struct("l1", "s1", "s2").alias("x"), "id").join(asked, "x").groupBy("x").agg(F.min("id").alias("id")), "ids")
+    ids = written(distinct.select(F.struct(*LINE).alias("x"), "id").join(asked, "x").groupBy("x").agg(F.min("id").alias("id")), "ids")
     lines = exploded(docs, doc_id, text, ids.select(F.xxhash64("id.d", "id.th").alias("doc"))).withColumn("at", F.xxhash64("d", "th", "line_no"))
     maybe = passing(lines, "at", bloom_filter(ids.select(F.xxhash64("id.d", "id.th", "id.line_no").alias("at")), "at")).filter("maybe_listed")
     some = maybe.select(F.struct("d", "th", "line_no").alias("id"), "norm")
@@ -279,8 +292,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     so without anchors small bounds are tried first.
     """
     j = pairs.join(texts, "x").join(texts.select(F.col("x").alias("y"), F.col("id").alias("id2"), F.col("norm").alias("norm2")), "y")
-    allowed = F.expr("cast(floor(greatest(length(norm), length(norm2)) * %r + 1e-9) as int)" % round(1 - SIMILARITY, 9))
-    j = j.select("x", "y", "id", "id2", "norm", "norm2", allowed.alias("allowed")).filter(F.abs(F.length("norm") - F.length("norm2")) <= F.col("allowed"))
+    j = j.select("x", "y", "id", "id2", "norm", "norm2", allowed(F.length("norm"), F.length("norm2")).alias("allowed")).filter(F.abs(F.length("norm") - F.length("norm2")) <= F.col("allowed"))
     j = once(j, brief=F.expr(f"cast(greatest(length(norm), length(norm2)) as long) * allowed <= {CELLS}"))
     j = once(j, at_once=F.expr(f"brief and (levenshtein(norm, norm2, allowed div {BOUNDS[0]}) >= 0 or levenshtein(norm, norm2, allowed) >= 0)")).filter("at_once or not brief")
     none = "cast(array() as array<string>)"
