@@ -62,14 +62,14 @@ def _text(c) -> F.Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-def parse_documents(df: DataFrame, text: str = "text", kind="plaintext") -> DataFrame:
-    """Adds ``nodes`` and ``error``; ``kind``: a format's name, or a column of them."""
+def parse_documents(df: DataFrame, text: str = "text", kind="plaintext", closed: bool = False) -> DataFrame:
+    """Adds ``nodes`` and ``error``; ``kind``: a format's name, or a column of them; ``closed``: HTML entities without a semicolon stay text."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
 
     def one(t: str, k: str) -> dict:
         if len(t.encode()) > M.MAX_INPUT_BYTES:
             raise K.InputTooLarge
-        return {"nodes": [n.row(i) for i, n in enumerate(K.parse(K.strip_pua(t), k))]}
+        return {"nodes": [n.row(i) for i, n in enumerate(K.parse(K.strip_pua(t), k, closed))]}
 
     return _mapped(df, [_text(text), kind], one, [T.StructField("nodes", M.NODES), T.StructField("error", T.StringType())])
 

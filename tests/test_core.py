@@ -92,6 +92,21 @@ def test_html_and_front_matter():
     assert K.front_matter("---\ntitle: 'x'\n...\nbody")[1] == "body" and K.front_matter("---\n---\nbody") == ([], "---\n---\nbody") and K.front_matter("---\ntitle: x")[0] == []
 
 
+def test_html_nodes_entities_without_semicolon(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    heads = ["a&amp;&amp", "b&copy", "c &quot;d&quot;", "e&copy2024", "f&ampg;", "h&amp;amp;amp"]
+    rows = [(i, f"<html><title>{h}</title><body><h1>{h}</h1><p>x &middot; y</p></body></html>") for i, h in enumerate(heads)]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for name in ("html_nodes", "html_text"):
+        assert sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect())) == sorted(con.execute(entry.oracle_sql()[name]).fetchall())
+    assert K.html_text("a&amp</h1>") == "a&amp; " and K.html_text("a&amp</h1>", closed=True) == "a&amp;amp " and K.html_text("&#233;&#xE9;&eacute;&nosuch;", closed=True) == "ééé&amp;nosuch;"
+
+
 MD = """# Head *x*
 
 Para **bold** `code` [link](http://a "t") ![alt](i.png)
