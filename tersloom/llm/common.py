@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -70,6 +71,12 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Collect the driver's garbage: plans and generated classes of ended queries, and with them their shuffle files, would else stay until its heap is full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; the session's Arrow batches, if still of the default 10,000 rows, become batches of 1,000: whole texts are long rows."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
@@ -164,19 +171,25 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1
 # --------------------------------------------------------------------------- connected components
 
 
+def stars_only(edges: DataFrame) -> bool:
+    """Whether every u of the edges (u, v), u > v, has a single v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    return ends.groupBy("node").agg(F.sum("up").alias("n"), F.min("up").alias("low")).filter("n > 1 or n = 1 and low = 0").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): component is the smallest node reachable. Alternating large-star and small-star rounds.
 
     Every round is two aggregations by key with partial results before the shuffle; a hub's neighbours are never gathered into one row.
     Each round's edges are written to the shared folder, so that neither lineage nor plans grow.
-    Nodes without an edge are not returned, nor are edges from or to null. Ends when a round changes nothing; every round that changes something moves an
-    edge's end to a smaller node, so it does end, and the number of rounds grows with the logarithm of the longest path.
+    Nodes without an edge are not returned, nor are edges from or to null. Ends when every node that has a smaller neighbour has one only, which has none
+    itself: then each component is a star around its smallest node. Every round before moves an edge's end to a smaller node, so it does end, and the
+    number of rounds grows with the logarithm of the longest path.
     """
     spark = edges.sparkSession
     edges = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "cc")
-    before = None
-    while True:
+    while not stars_only(e):
         # large star: neighbours above u go to the smallest in u's neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -186,12 +199,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         j = large.join(low2, "u")
         small = j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(j.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         new = written(small, "cc")
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         dropped(e)
         e = new
-        if now == before:
-            break
-        before = now
+    swept(spark)
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out = out.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     out._tersloom_path = e._tersloom_path  # type: ignore[attr-defined]

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tersloom.llm.common import connected_components, dropped, table, written
+from tersloom.llm.common import connected_components, dropped, swept, table, written
 from tersloom.llm.urls import bloom_filter, passing
 
 #: Words that a line is hashed by, at most: the distinct ones with the smallest hashes. A byte lane counts to 127.
@@ -131,7 +131,9 @@ def stars(distinct: DataFrame, bands: list[int], name: str) -> tuple[DataFrame,
     dropped(crowded)
     pivot = member.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "x").alias("h"), "x")).alias("p")).select("key", F.col("p.x").alias("p"))
     near = member.join(pivot, "key").filter(F.expr("x <> p") & may_be_similar("x", "p")).select("x", F.col("p").alias("y"), bits_between("x", "p").alias("bits"))
-    return written(near.groupBy("x", "y").agg(F.min("bits").alias("bits")), f"stars-{name}"), member
+    out = written(near.groupBy("x", "y").agg(F.min("bits").alias("bits")), f"stars-{name}")
+    swept(distinct.sparkSession)
+    return out, member
 
 
 def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -576,3 +576,16 @@ def test_line_verification_is_exact(spark, monkeypatch):
         monkeypatch.setattr(L, "CELLS", cells)
         assert {(x, y) for x, y in L.verified(asked, texts).select("x", "y").collect()} == want
     assert L.verified(asked.limit(0), texts).count() == 0
+
+
+def test_components_end_at_stars(spark, monkeypatch):
+    """Stars need no round: the edges are written once (a round that changed nothing was run and written before)."""
+    from tersloom.llm import common
+
+    tables = []
+    monkeypatch.setattr(common, "written", lambda df, name, f=common.written: tables.append(name) or f(df, name))
+    edges = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    assert dict(map(tuple, common.connected_components(edges([(2, 1), (1, 3), (5, 4)])).collect())) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+    assert tables == ["cc"]
+    for pairs in ([(3, 1), (3, 2)], [(2, 1), (3, 2)], [(4, 3), (4, 2), (3, 1)]):  # two smaller neighbours, a path, both
+        assert {x.component for x in common.connected_components(edges(pairs)).collect()} == {1}
