@@ -40,6 +40,7 @@ LINE = ["l1", "s1", "s2", "len"]
 _ONES = 0x0001010101010101
 _HIGH = 0x0080808080808080
 _NO_ID = -(2**63)
+_LOW = (1 << 32) - 1
 
 
 def document_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
@@ -268,20 +269,26 @@ def anchors(j: DataFrame) -> DataFrame:
     are missing or stand in another order.
 
     Both sides' shingles, sorted together by hash, show those that stand once in each. A place that does not lie between those of its neighbours is a chance
-    match. Stretches are compared by their texts, so equal hashes of unequal shingles do no harm."""
-    each = lambda v, side: F.expr(f"transform({v}, (w, i) -> struct(xxhash64(w, {', '.join(f'get({v}, i + {k})' for k in range(1, ANCHOR))}) as h, {side} as side, i as at))")
-    j = once(j, both=F.sort_array(F.concat(each("va", 0), each("vb", 1))))
-    own = "e.side = 0 and get(both, i + 1).side = 1 and get(both, i + 1).h = e.h and not get(both, i - 1).h <=> e.h and not get(both, i + 2).h <=> e.h"
-    found = f"filter(transform(both, (e, i) -> if({own}, struct(e.at as a, get(both, i + 1).at as b), null)), e -> e is not null)"
+    match. Stretches are compared by their texts, so equal hashes of unequal shingles do no harm. Places of both sides are packed in longs, which are
+    sorted and told apart without comparing rows."""
+    high, low = lambda e: f"shiftright({e}, 32)", lambda e: f"({e} & {_LOW}L)"
+    # a shingle's hash, its side and its place in one long
+    each = lambda v, side: f"transform({v}, (w, i) -> shiftleft(xxhash64(w, {', '.join(f'get({v}, i + {k})' for k in range(1, ANCHOR))}) & {(1 << 30) - 1}L, 33) + {side << 32}L + i)"
+    j = once(j, both=F.expr(f"sort_array(concat({each('va', 0)}, {each('vb', 1)}))"))
+    # of equal hashes the side 0 sorts before the side 1
+    own = f"{high('e')} & 1 = 0 and {high('get(both, i + 1)')} = {high('e')} + 1 and not shiftright(get(both, i - 1), 33) <=> shiftright(e, 33) and not shiftright(get(both, i + 2), 33) <=> shiftright(e, 33)"
+    found = f"filter(transform(both, (e, i) -> if({own}, shiftleft({low('e')}, 32) + {low('get(both, i + 1)')}, null)), e -> e is not null)"
     # the words of an anchor, and the place behind it
-    places = f"flatten(transform({found}, e -> transform(sequence(0, {ANCHOR}), k -> struct(cast(least(e.a + k, size(va)) as int) as a, cast(least(e.b + k, size(vb)) as int) as b))))"
-    j = once(j, met=F.sort_array(F.array_distinct(F.expr(places)))).drop("both")
-    j = once(j, kept=F.expr("filter(met, (e, i) -> nvl(get(met, i - 1).b <= e.b, true) and nvl(get(met, i + 1).b >= e.b, true))")).drop("met")
-    ordered = "size(kept) > 0 and forall(sequence(0, size(kept) - 1), i -> nvl(get(kept, i - 1).b <= get(kept, i).b, true))"
-    j = once(j, cuts=F.expr(f"if({ordered}, concat(kept, array(struct(size(va) as a, size(vb) as b))), null)")).drop("kept")
-    spans = "transform(cuts, (e, i) -> struct(nvl(get(cuts, i - 1).a, 0) as a0, e.a as a1, nvl(get(cuts, i - 1).b, 0) as b0, e.b as b1))"
-    same = "(p.a0 = p.a1 and p.b0 = p.b1) or (p.a0 + 1 = p.a1 and p.b0 + 1 = p.b1 and get(va, p.a0) = get(vb, p.b0))"
-    j = once(j, ends=F.expr(f"filter({spans}, p -> not ({same}))")).drop("cuts")
+    places = f"flatten(transform({found}, e -> transform(sequence(0, {ANCHOR}), k -> shiftleft(least({high('e')} + k, size(va)), 32) + least({low('e')} + k, size(vb)))))"
+    j = once(j, met=F.expr(f"sort_array(array_distinct({places}))")).drop("both")
+    rising = lambda e, f: f"nvl({low(e)} <= {low(f)}, true)"
+    j = once(j, kept=F.expr(f"filter(met, (e, i) -> {rising('get(met, i - 1)', 'e')} and {rising('e', 'get(met, i + 1)')})")).drop("met")
+    ordered = f"size(kept) > 0 and forall(sequence(0, size(kept) - 1), i -> {rising('get(kept, i - 1)', 'get(kept, i)')})"
+    j = once(j, cuts=F.expr(f"if({ordered}, concat(kept, array(shiftleft(cast(size(va) as bigint), 32) + size(vb))), null)")).drop("kept")
+    last = "nvl(get(cuts, i - 1), 0L)"
+    same = f"get(cuts, i) = {last} or (get(cuts, i) = {last} + {(1 << 32) + 1}L and get(va, cast({high(last)} as int)) = get(vb, cast({low(last)} as int)))"
+    span = ", ".join(f"cast({part(e)} as int) as {v}{k}" for v, part in (("a", high), ("b", low)) for k, e in enumerate((last, "get(cuts, i)")))
+    j = once(j, ends=F.expr(f"transform(filter(sequence(0, size(cuts) - 1), i -> not ({same})), i -> struct({span}))")).drop("cuts")
     return once(j, spans=F.expr(trimmed("ends"))).drop("ends")
 
 
