@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,9 +73,24 @@ def dropped(df: DataFrame) -> None:
 
 
 def swept(spark: SparkSession) -> None:
-    """Collect the driver's garbage: plans and generated classes of ended queries, and with them their shuffle files, would else stay until its heap is full."""
+    """Collect the driver's garbage: plans and generated classes of ended queries, and with them their shuffle files, would else stay until its heap is full.
+    Then give the system what the driver's native heap has freed: compilers and class loaders allocate there, and the C library keeps what they free."""
     gc.collect()
     spark._jvm.System.gc()
+    trimmed(spark)
+
+
+def trimmed(spark: SparkSession) -> bool:
+    """Whether the driver's Java machine could give its freed native memory back (HotSpot on Linux from 17.0.9 on; others go on without)."""
+    jvm = spark._jvm
+    try:
+        # the server's class is not open to calls from outside, its interface is
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return "Trim native heap" in invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return False
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

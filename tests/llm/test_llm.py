@@ -589,3 +589,14 @@ def test_components_end_at_stars(spark, monkeypatch):
     assert tables == ["cc"]
     for pairs in ([(3, 1), (3, 2)], [(2, 1), (3, 2)], [(4, 3), (4, 2), (3, 1)]):  # two smaller neighbours, a path, both
         assert {x.component for x in common.connected_components(edges(pairs)).collect()} == {1}
+
+
+def test_native_heap_is_trimmed(spark, monkeypatch):
+    """A sweep also gives back what the driver's native heap has freed (it only collected garbage before)."""
+    from tersloom.llm import common
+
+    assert common.trimmed(spark)
+    done = []
+    monkeypatch.setattr(common, "trimmed", lambda s: done.append(s))
+    common.swept(spark)
+    assert done == [spark]
