@@ -153,28 +153,55 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first = F.min(F.struct("d", "th", "line_no")).alias("id")
     distinct = written(hashed.groupBy("l1", "l2").agg(F.count("*").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min("len").alias("len"), *(F.min(f"k{x}").alias(f"k{x}") for x in range(PLANE)), first), "distinct")
     found = [stars(distinct, bands, str(i)) for i, bands in enumerate(PASSES)]
-    stored = near = written(reduce(DataFrame.unionByName, (s for s, _ in found)).groupBy("x", "y").agg(F.min("bits").alias("bits")), "near")
-    texts = texts_of(near, distinct, docs, doc_id, text)
-    closest = near.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+    near = written(ordered(reduce(DataFrame.unionByName, (s for s, _ in found))).groupBy("x", "y").agg(F.min("bits").alias("bits")), "near")
+    for s, _ in found:
+        dropped(s)
+    texts, ids = texts_of(near, distinct, docs, doc_id, text)
     # two lines may be each other's closest pivots
-    closest = ordered(closest).distinct()
-    near = ordered(near).distinct()
-    links = written(verified(closest, texts), "links")
-    open_pairs = written(between(near.join(closest, ["x", "y"], "left_anti"), connected_components(links, "x", "y")), "open")
-    links = written(links.unionByName(verified(open_pairs, texts)), "links")
-    apart = written(between_blocks(reduce(DataFrame.unionByName, (m.filter("n > 2") for _, m in found)), connected_components(links, "x", "y")), "apart")
+    either = near.select("x", "y", "bits").unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"), "bits"))
+    closest = written(ordered(either.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("best")).select("x", "best.y", "best.bits")).select("x", "y").distinct(), "closest")
+    links = written(verified(closest, texts).select("x", "y"), "links")
+    groups = connected_components(links, "x", "y")
+    groups = joined(near.join(closest, ["x", "y"], "left_anti"), groups, texts)
+    apart = written(between_blocks(reduce(DataFrame.unionByName, (m.filter("n > 2") for _, m in found)), groups), "apart")
     more = written(apart.join(near, ["x", "y"], "left_anti"), "more")
-    pairs = links.select("a", "b")
+    nodes = ids
+    for t in (texts, near, closest, links, apart, *(m for _, m in found)):
+        dropped(t)
     if not more.isEmpty():
+        texts, others = texts_of(more, distinct, docs, doc_id, text)
+        groups = joined(more, groups, texts)
+        nodes = ids.unionByName(others).dropDuplicates(["x"])
         dropped(texts)
-        texts = texts_of(more, distinct, docs, doc_id, text)
-        pairs = pairs.unionByName(verified(more, texts).select("a", "b"))
-    groups = connected_components(pairs)
-    nearly = groups.filter("node <> component").select("node.*")
+    named_ids = written(groups.select(F.col("node").alias("x"), "component").join(nodes, "x"), "nodes")
+    # of each component the first occurrence stays; told by ids, no two of which are equal, so no task holds a large component
+    kept = named_ids.groupBy("component").agg(F.min("id").alias("id")).select("id")
+    nearly = named_ids.select("id").join(kept, "id", "left_anti").select("id.*")
     copied = distinct.filter("n > 1").select("l1", "l2", "id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     exactly = hashed.withColumn("salt", F.pmod(F.xxhash64("d", "line_no"), F.lit(SALTS)).cast("int")).join(copied, ["l1", "l2", "salt"]).filter(F.struct("d", "th", "line_no") != F.col("id")).select("d", "th", "line_no")
     out = written(exactly.unionByName(nearly).distinct(), "dups")
-    for t in (hashed, stored, links, open_pairs, apart, more, distinct, texts, groups, *(t for pair in found for t in pair)):
+    for t in (hashed, more, distinct, groups, named_ids, ids, *([others] if nodes is not ids else [])):
+        dropped(t)
+    return out
+
+
+def joined(pairs: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """``groups`` (node, component) with the links among ``pairs`` (x, y, bits). One link joins two components, so of the pairs between two the one of the
+    fewest bits is verified first, the others only if these are still apart then."""
+    apart = written(between(pairs, groups), "open")
+    best = written(apart.groupBy("cx", "cy").agg(F.min(F.struct("bits", "x", "y")).alias("best")).select("cx", "cy", "best.x", "best.y"), "best")
+    links = written(verified(best, texts).select("cx", "cy"), "links")
+    after = connected_components(links, "cx", "cy")
+    rest = named(named(apart.join(best, ["x", "y"], "left_anti"), "cx", after, "dx"), "cy", after, "dy").filter("dx <> dy").select("x", "y", "cx", "cy")
+    rest = written(rest, "rest")
+    if not rest.isEmpty():
+        dropped(after)
+        after = connected_components(links.unionByName(verified(rest, texts).select("cx", "cy")), "cx", "cy")
+    to = after.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    moved = groups.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    # what is in no group yet is a component of one line
+    out = written(moved.unionByName(after.join(groups, "node", "left_anti").select("node", "component")), "groups")
+    for t in (apart, best, links, rest, after, groups):
         dropped(t)
     return out
 
@@ -185,12 +212,13 @@ def named(rows: DataFrame, column: str, components: DataFrame, out: str) -> Data
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+    return pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"), "bits")
 
 
 def between(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """The pairs (x, y) of different components."""
-    return named(named(pairs, "x", components, "cx"), "y", components, "cy").filter("cx <> cy").select("x", "y")
+    """The pairs (x, y, bits) of different components, and these: cx, cy, cx > cy."""
+    apart = named(named(pairs, "x", components, "cx"), "y", components, "cy").filter("cx <> cy")
+    return apart.select("x", "y", "bits", F.greatest("cx", "cy").alias("cx"), F.least("cx", "cy").alias("cy"))
 
 
 def between_blocks(members: DataFrame, components: DataFrame) -> DataFrame:
@@ -205,19 +233,18 @@ def between_blocks(members: DataFrame, components: DataFrame) -> DataFrame:
     others = m.select("key", F.col("x").alias("y"), F.col("c").alias("cy"), F.pmod(F.xxhash64("x"), parts + 1).cast("int").alias("part"))
     # of two asking members the larger asks
     pairs = asking.join(others, ["key", "part"]).filter((F.col("c") != F.col("cy")) & may_be_similar("x", "y") & ((F.col("cy") == F.col("main")) | (F.col("x") > F.col("y"))))
-    return pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    return ordered(pairs.select("x", "y", bits_between("x", "y").alias("bits"))).distinct()
 
 
-def texts_of(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(x, id, norm): the first occurrence and the normal form of each distinct line in ``pairs``."""
+def texts_of(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(x, id, norm), and (x, id): the first occurrence and the normal form of each distinct line in ``pairs``."""
     asked = pairs.select(F.explode(F.array("x", "y")).alias("x")).distinct()
     ids = written(distinct.select(F.struct(*LINE).alias("x"), "id").join(asked, "x").groupBy("x").agg(F.min("id").alias("id")), "ids")
     lines = exploded(docs, doc_id, text, ids.select(F.xxhash64("id.d", "id.th").alias("doc"))).withColumn("at", F.xxhash64("d", "th", "line_no"))
     maybe = passing(lines, "at", bloom_filter(ids.select(F.xxhash64("id.d", "id.th", "id.line_no").alias("at")), "at")).filter("maybe_listed")
     some = maybe.select(F.struct("d", "th", "line_no").alias("id"), "norm")
     out = written(some.join(ids, "id").select("x", "id", "norm").dropDuplicates(["x"]), "texts")
-    dropped(ids)
-    return out
+    return out, ids
 
 
 #: Words of the pieces that lines of equal word counts are compared by.
@@ -293,19 +320,25 @@ def anchors(j: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """x, y, and a, b (their first occurrences) of the pairs whose normalised lines have an edit similarity of at least SIMILARITY.
+    """x, y, a, b (their first occurrences) and any other columns of the pairs whose normalised lines have an edit similarity of at least SIMILARITY.
 
-    Short lines are compared at once. Of others the words that both lines begin and end with are cut off, which changes no distance. What is left is no
+    Lines that differ in some words of equal places are settled by these words, short lines are compared at once. Of others the words that both lines begin and end with are cut off, which changes no distance. What is left is no
     farther apart than its longer side is long, and no farther than the stretches between anchors (see ``anchors``) together, nor than the longer sides of
     these. Lines of equal word counts are no farther apart than their pieces of PIECE words together. What these bounds leave open takes the whole distance, whose cost is a length times a bound,
     so without anchors small bounds are tried first.
     """
     j = pairs.join(texts, "x").join(texts.select(F.col("x").alias("y"), F.col("id").alias("id2"), F.col("norm").alias("norm2")), "y")
-    j = j.select("x", "y", "id", "id2", "norm", "norm2", allowed(F.length("norm"), F.length("norm2")).alias("allowed")).filter(F.abs(F.length("norm") - F.length("norm2")) <= F.col("allowed"))
+    more = [c for c in pairs.columns if c not in ("x", "y")]
+    j = j.select("x", "y", *more, "id", "id2", "norm", "norm2", allowed(F.length("norm"), F.length("norm2")).alias("allowed")).filter(F.abs(F.length("norm") - F.length("norm2")) <= F.col("allowed"))
     j = once(j, brief=F.expr(f"cast(greatest(length(norm), length(norm2)) as long) * allowed <= {CELLS}"))
-    j = once(j, at_once=F.expr(f"brief and (levenshtein(norm, norm2, allowed div {BOUNDS[0]}) >= 0 or levenshtein(norm, norm2, allowed) >= 0)")).filter("at_once or not brief")
+    # word by word: lines of equal word counts of which some words were exchanged need no more than the distances of these
+    j = once(j, wa=F.split("norm", " "), wb=F.split("norm2", " "))
+    by_words = "aggregate(zip_with(wa, wb, (v, w) -> if(v = w, 0, levenshtein(v, w))), 0, (n, d) -> n + d)"
+    unlike = "aggregate(zip_with(wa, wb, (v, w) -> if(v = w, 0, 1)), 0, (n, d) -> n + d)"
+    j = once(j, by_words=F.expr(f"if(size(wa) <> size(wb) or {unlike} > allowed, false, {by_words} <= allowed)"))
+    j = once(j, at_once=F.expr(f"if(by_words, true, if(brief, levenshtein(norm, norm2, allowed div {BOUNDS[0]}) >= 0 or levenshtein(norm, norm2, allowed) >= 0, null))")).filter("at_once is null or at_once")
     none = "cast(array() as array<string>)"
-    j = once(j, wa=F.expr(f"if(brief, {none}, split(norm, ' '))"), wb=F.expr(f"if(brief, {none}, split(norm2, ' '))")).drop("norm", "norm2")
+    j = once(j, ua=F.expr(f"if(at_once, {none}, wa)"), ub=F.expr(f"if(at_once, {none}, wb)")).drop("norm", "norm2", "wa", "wb", "by_words", "brief").withColumnsRenamed({"ua": "wa", "ub": "wb"})
     differ = lambda p, q: F.array_position(F.zip_with(p, q, lambda v, w: v.eqNullSafe(w)), F.lit(False)).cast("int")
     j = once(j, ahead=differ("wa", "wb"), behind=differ(F.reverse("wa"), F.reverse("wb")), shorter=F.least(F.size("wa"), F.size("wb")))
     j = once(j, head=F.expr("if(ahead = 0, shorter, ahead - 1)"))
@@ -313,7 +346,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     j = once(j, va=F.expr("slice(wa, head + 1, size(wa) - head - tail)"), vb=F.expr("slice(wb, head + 1, size(wb) - head - tail)")).drop("wa", "wb")
     j = once(j, ta=F.array_join("va", " "), tb=F.array_join("vb", " "))
     # a side of which nothing is left lacks the other's words and a blank
-    j = once(j, seen=F.expr("""case when brief then at_once when size(va) = 0 and size(vb) = 0 then true when size(va) = 0 or size(vb) = 0 then length(ta) + length(tb) < allowed
+    j = once(j, seen=F.expr("""case when at_once then true when size(va) = 0 and size(vb) = 0 then true when size(va) = 0 or size(vb) = 0 then length(ta) + length(tb) < allowed
         when greatest(length(ta), length(tb)) <= allowed then true end"""))
     j = once(j, ua=F.expr(f"if(seen is null, va, {none})"), ub=F.expr(f"if(seen is null, vb, {none})")).drop("va", "vb").withColumnsRenamed({"ua": "va", "ub": "vb"})
     j = anchors(j)
@@ -324,7 +357,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         when size(va) = size(vb) and {apart(pieces)} <= allowed then true when spans is not null and {apart('spans', f'allowed div {BOUNDS[0]}')} <= allowed then true
         when spans is not null and {apart('spans')} <= allowed then true {tried} else levenshtein(ta, tb, allowed) >= 0 end"""
     j = once(j, similar=F.expr(similar))
-    return j.filter("similar").select("x", "y", F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b"))
+    return j.filter("similar").select("x", "y", *more, F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b"))
 
 
 def line_decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -600,3 +600,18 @@ def test_native_heap_is_trimmed(spark, monkeypatch):
     monkeypatch.setattr(common, "trimmed", lambda s: done.append(s))
     common.swept(spark)
     assert done == [spark]
+
+
+def test_one_pair_of_two_components(spark, monkeypatch):
+    """Of the pairs between two components one is verified, the others only if it gives no link; every link counts (all pairs were verified before)."""
+    texts = {1: "a b c d e f g h i j", 2: "a b c d e f g h i k", 3: "a b c d e f g h i l", 4: "q r s t u v w x y z", 5: "a b c d e f g h m n"}
+    x = lambda i: (i, 0, 0, len(texts[i]))
+    line = "struct<l1: long, s1: long, s2: long, len: int>"
+    known = spark.createDataFrame([(x(i), (i, 0, 0), t) for i, t in texts.items()], f"x {line}, id struct<d: long, th: long, line_no: int>, norm string")
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    groups = frame([(x(1), x(1)), (x(2), x(1))], f"node {line}, component {line}")
+    asked, real = [], lines.verified
+    monkeypatch.setattr(lines, "verified", lambda p, t: asked.append(p.count()) or real(p, t))
+    pairs = frame([(x(3), x(1), 4), (x(3), x(2), 5), (x(4), x(1), 1), (x(4), x(2), 2), (x(5), x(3), 9)], f"x {line}, y {line}, bits int")
+    got = {r["node"]["l1"]: r["component"]["l1"] for r in lines.joined(pairs, groups, known).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 5: 1} and asked == [3, 1]
