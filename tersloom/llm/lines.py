@@ -143,11 +143,11 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     1. Equal normalised lines fall together by hash with map-side partial results; a line in a third of all documents is one row then.
     2. Distinct lines meet by blocks of the SimHash and by minima of their words. In each block every member is compared with a pivot. Pairs that differ in
        few bits and whose lengths allow the similarity are verified by edit similarity on their texts, which are fetched through a broadcast Bloom filter of fixed size and an exact join: first
-       each line's closest pivot, then the other pivots that this leaves in another component.
+       each line's closest pivot, then the other pivots that this leaves in another component: of the pairs between two components one at first (see ``joined``).
     3. Members outside the largest component of a block meet all members of other components. Pairs within a component need no verdict, so a hot block of
        alike lines stays linear, and no pair that shares a block, differs in few bits and would join two components is missed. Pairs in which most words
        differ (a typo in every word) share no minima and meet by chance only.
-    4. Links are between the lines' first occurrences, so a component's smallest node is the occurrence to keep; lines without a link take part in no join.
+    4. Of each component the line with the smallest first occurrence stays; lines without a link take part in no join.
     """
     hashed = written(simhashed(exploded(docs, doc_id, text)), "lines")
     first = F.min(F.struct("d", "th", "line_no")).alias("id")
